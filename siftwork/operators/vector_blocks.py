@@ -84,7 +84,7 @@ def hold_if_small(
         if table.num_rows > bound:
             return None
     return Held(longs(table[id_col]), matrix(table[vec_col]),
-                {c: doubles(table[c]) for c in extra})
+                {c: table[c].to_numpy() for c in extra})
 
 
 # ------------------------------------------------------------------ plain grid
