@@ -179,11 +179,11 @@ def score_distribution(hits: DataFrame, threshold: float) -> DataFrame:
 
 def neighbour_stats(isolation: DataFrame) -> DataFrame:
     """n, p5, median and minimum of the neighbour similarity, by nearest rank."""
-    from siftwork.operators.order_stats import nearest_rank, ranked_values
+    from siftwork.operators.order_stats import nearest_rank
 
     sims = isolation.where(F.col("isolation").isNotNull()).select(
         F.lit("sim").alias("metric"), (1.0 - F.col("isolation")).alias("value"))
-    return nearest_rank(ranked_values(sims), {"p5": 0.05, "median": 0.5, "min": 0.0}).drop("metric")
+    return nearest_rank(sims, {"p5": 0.05, "median": 0.5, "min": 0.0}).drop("metric")
 
 
 # ----------------------------------------------------------------------- slices

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators.order_stats import percentile_buckets
+from siftwork.session import reliable_checkpoint
 
 # The components of each axis, whether a low value is the hard
 # end, and the phrase a component earns in its own top 30 percent.
@@ -39,8 +40,10 @@ def score_axes(measures: DataFrame, components=COMPONENTS) -> DataFrame:
 
     Each component becomes a percentile rank, an axis averages the ones it has
     and is ranked again.  ``detail`` keeps the raw values, ``why`` names the
-    components in their own hard tail."""
-    rows = percentile_buckets(component_rows(measures, components))
+    components in their own hard tail.
+
+    The fits read the measures several times, so these are written out once."""
+    rows = percentile_buckets(component_rows(reliable_checkpoint(measures), components))
     phrase = F.create_map(*[F.lit(x) for _, name, _, why in components for x in (name, why)])
     share = F.col("bucket") / 10.0
     notable = F.when(share >= NOTABLE, F.struct(share.alias("p"), F.col("metric").alias("m")))

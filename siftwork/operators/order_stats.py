@@ -1,67 +1,226 @@
-"""Ranks, percentiles and positions without a one-partition sort.
+"""Exact ranks, percentiles and positions without a global sort.
 
-A global rank needs every smaller value counted.  Here values are first counted
-per distinct value, then cut into ranges by approximate quantiles; each range
-sums on its own and adds the total of the ranges before it.  The answer is
-exact whatever the quantiles were; they only balance the work.
+A percentile bucket is a set of cut values, and a cut value is an order
+statistic.  The k-th smallest value of a column is found by narrowing: rough
+quantiles bracket it, one counting pass checks the bracket and says how many
+values lie below, and the few distinct values left inside settle it.  Each pass
+is an aggregate that combines on the map side, so no row is shuffled or sorted
+whatever the size of the table.  Like any fit, the narrowing runs when it is
+called; applying the cuts is a plain column.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.session import reliable_checkpoint
 
-# Ranges per metric are the square of this.
-_SIDE = 16
+# Relative accuracy of the bracketing quantiles.
+_ACCURACY = 10_000
+_GRID = [i / 1000 for i in range(1001)]
+# Rows that may be left in a bracket when the driver reads its values; a fuller
+# one narrows on.
+_BRACKET_ROWS = 20_000
 # Groups longer than this get their positions range by range.
 HOT_GROUP_ROWS = 5_000_000
 
+Ranks = Callable[[int], list[int]]
+
+
+@dataclass
+class _Bracket:
+    """Where one order statistic must lie: between two values, with the exact
+    counts below and up to each of them."""
+
+    rank: int
+    lo: float
+    hi: float
+    counts: tuple[int, int, int, int] = (0, 0, 0, 0)  # < lo, <= lo, < hi, <= hi
+
+    @property
+    def value(self) -> float | None:
+        """The answer, once the rank falls on an edge."""
+        below_lo, to_lo, below_hi, to_hi = self.counts
+        if below_lo <= self.rank < to_lo:
+            return self.lo
+        return self.hi if below_hi <= self.rank < to_hi else None
+
+    @property
+    def inside(self) -> int:
+        """Rows strictly between the edges, if the rank is among them."""
+        _, to_lo, below_hi, _ = self.counts
+        return below_hi - to_lo if to_lo <= self.rank < below_hi else 0
+
+
+@dataclass(frozen=True)
+class OrderStatistics:
+    """Row count of a metric and the values found at the asked ranks."""
+
+    n: int
+    at: dict[int, float]
+
+
+def order_statistics(
+    measures: DataFrame, ranks: Ranks, key: str = "metric", value: str = "value"
+) -> dict[str, OrderStatistics]:
+    """Values at 0-based ranks of each metric, NULLs left out.
+
+    ``ranks`` maps a row count to the ranks wanted; ``key`` has few values."""
+    rows = measures.select(key, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    sizes = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.percentile_approx("v", _GRID, _ACCURACY).alias("q")).collect()
+    state: dict[str, list[_Bracket]] = {}
+    bounds = {}
+    for s in sizes:
+        bounds[s[key]] = (s["n"], s["lo"], s["hi"])
+        state[s[key]] = [_start(r, s["n"], s["lo"], s["hi"], s["q"]) for r in sorted(set(ranks(s["n"])))]
+    found = {m: {} for m in state}
+    while any(state.values()):
+        _count(rows, key, state)
+        for m, brackets in state.items():
+            found[m].update({b.rank: b.value for b in brackets if b.value is not None})
+        state = {m: [b for b in bs if b.value is None] for m, bs in state.items()}
+        _widen(state, bounds)
+        small = {m: [b for b in bs if 0 < b.inside <= _BRACKET_ROWS] for m, bs in state.items()}
+        if any(small.values()):
+            for m, rank, v in _read(rows, key, small):
+                found[m][rank] = v
+            state = {m: [b for b in bs if b not in small[m]] for m, bs in state.items()}
+        _narrow(rows, key, state)
+    return {m: OrderStatistics(bounds[m][0], found[m]) for m in found}
+
+
+def _start(rank: int, n: int, lo: float, hi: float, q: list[float]) -> _Bracket:
+    """First bracket: the quantiles a step either side of the rank."""
+    spot = rank / max(1, n - 1) * (len(q) - 1)
+    slack = len(q) * 2.0 / _ACCURACY + 1e-9
+    left, right = math.floor(spot - slack), math.ceil(spot + slack)
+    return _Bracket(rank, lo if left <= 0 else q[left], hi if right >= len(q) - 1 else q[right])
+
+
+def _steps(per_metric: dict[str, list[float]], key: str, value: str, tests: tuple[str, ...]) -> Column:
+    """How many of the tests ``value > e``, ``value >= e`` hold over the edges
+    of a row's metric: one integer column of plain comparisons."""
+    whens = []
+    for m, edges in per_metric.items():
+        passed = [f"CAST(`{value}` {t} {float(e)!r}D AS INT)" for e in edges for t in tests]
+        name = str(m).replace("\\", "\\\\").replace("'", "\\'")
+        whens.append(f"WHEN `{key}` = '{name}' THEN {' + '.join(passed) or '0'}")
+    return F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None).cast("int")
+
+
+def _edges(state: dict[str, list[_Bracket]]) -> dict[str, list[float]]:
+    return {m: sorted({e for b in bs for e in (b.lo, b.hi)}) for m, bs in state.items() if bs}
+
+
+def _zones(rows: DataFrame, key: str, edges: dict[str, list[float]]) -> DataFrame:
+    """Rows with ``zone``: 2i between edge i-1 and edge i, 2i+1 on edge i."""
+    return rows.withColumn("zone", _steps(edges, key, "v", (">", ">=")))
 
-def ranked_values(measures: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
-    """``key, value, cnt, before, n``: per distinct value, how many rows carry
-    it, how many lie below it, and how many there are.
-
-    ``key`` must have few distinct values (metrics, facet groups)."""
-    counted = measures.where(F.col(value).isNotNull()).groupBy(key, value).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    steps = [i / (_SIDE * _SIDE) for i in range(1, _SIDE * _SIDE)]
-    cuts = counted.groupBy(key).agg(
-        F.percentile_approx(value, [float(s) for s in steps], 10_000).alias("cuts"))
-    # One row per metric: small by contract, left to the size-based join choice.
-    placed = counted.join(cuts, key).withColumn("part", _range_of(F.col("cuts"), F.col(value)))
-    placed = placed.drop("cuts")
-    totals = placed.groupBy(key, "part").agg(F.sum("cnt").alias("t"))
-    in_key = Window.partitionBy(key).orderBy("part")
-    offsets = totals.select(
-        key, "part",
-        (F.sum("t").over(in_key) - F.col("t")).alias("offset"),
-        F.sum("t").over(Window.partitionBy(key)).alias("n"))
-    in_part = Window.partitionBy(key, "part").orderBy(value)
-    local = placed.withColumn("below", F.sum("cnt").over(in_part) - F.col("cnt"))
-    return local.join(offsets, [key, "part"]).select(
-        key, value, "cnt", (F.col("offset") + F.col("below")).alias("before"), "n")
-
-
-def _range_of(cuts: Column, value: Column) -> Column:
-    """Number of cuts below ``value``, found in two short scans."""
-    coarse = F.filter(cuts, lambda c, i: (i % _SIDE == _SIDE - 1) & (c < value))
-    start = F.size(coarse) * _SIDE
-    fine = F.filter(F.slice(cuts, start + 1, _SIDE), lambda c: c < value)
-    return start + F.size(fine)
-
-
-def percentile_cuts(ranks: DataFrame, key: str = "metric", value: str = "value") -> DataFrame:
-    """``key, cuts``: the smallest value of each 0-10 bucket, at most eleven.
-
-    Ties share the lowest rank; the rank share is rounded half to even."""
-    share = F.col("before") / F.greatest(F.col("n") - 1, F.lit(1)) * 10
-    bucket = F.greatest(F.least(F.rint(share), F.lit(10.0)), F.lit(0.0)).cast("int")
-    starts = ranks.withColumn("bucket", bucket).groupBy(key, "bucket").agg(
-        F.min(value).alias("start"))
-    return starts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "bucket"))).alias("cuts"))
+
+def _count(rows: DataFrame, key: str, state) -> None:
+    """Exact counts at the bracket edges of every metric, in one pass."""
+    edges = _edges(state)
+    zones: dict[str, dict[int, int]] = {}
+    for r in _zones(rows, key, edges).groupBy(key, "zone").agg(F.count(F.lit(1)).alias("c")).collect():
+        zones.setdefault(r[key], {})[r["zone"]] = r["c"]
+    for m, brackets in state.items():
+        def before(zone: int, m=m) -> int:
+            return sum(c for z, c in zones[m].items() if z < zone)
+
+        for b in brackets:
+            lo, hi = (2 * edges[m].index(e) + 1 for e in (b.lo, b.hi))
+            b.counts = (before(lo), before(lo + 1), before(hi), before(hi + 1))
+
+
+def _widen(state, bounds) -> None:
+    """A bracket that missed its rank opens to the end it missed on."""
+    for m, brackets in state.items():
+        _, lo, hi = bounds[m]
+        for b in brackets:
+            if b.rank < b.counts[0]:
+                b.lo, b.hi, b.counts = lo, b.lo, (0, 0, 0, 0)
+            elif b.rank >= b.counts[3]:
+                b.lo, b.hi, b.counts = b.hi, hi, (0, 0, 0, 0)
+
+
+def _read(rows: DataFrame, key: str, small):
+    """The values strictly inside the small brackets, counted; a bounded read."""
+    edges = _edges(small)
+    wanted = F.lit(False)
+    for m, bs in small.items():
+        inside = sorted({z for b in bs for z in range(
+            2 * edges[m].index(b.lo) + 2, 2 * edges[m].index(b.hi) + 1)})
+        if inside:
+            wanted = wanted | ((F.col(key) == m) & F.col("zone").isin(inside))
+    got: dict[str, list] = {}
+    for r in _zones(rows, key, edges).where(wanted).groupBy(key, "v").agg(
+            F.count(F.lit(1)).alias("c")).collect():
+        got.setdefault(r[key], []).append((r["v"], r["c"]))
+    for m, brackets in small.items():
+        values = sorted(got.get(m, []))
+        for b in brackets:
+            seen = b.counts[1]
+            for v, c in values:
+                if b.lo < v < b.hi:
+                    seen += c
+                    if b.rank < seen:
+                        yield m, b.rank, v
+                        break
+
+
+def _narrow(rows: DataFrame, key: str, state) -> None:
+    """Quantiles of the crowded brackets pull their edges in."""
+    crowded = {m: [b for b in bs if b.inside] for m, bs in state.items()}
+    for i in range(max(len(bs) for bs in crowded.values())):
+        slot = {m: [bs[i].lo, bs[i].hi] for m, bs in crowded.items() if i < len(bs)}
+        # Zone 2 of two edges is the open interval between them.
+        between = _zones(rows, key, slot).where("zone = 2")
+        for r in between.groupBy(key).agg(
+                F.percentile_approx("v", _GRID, _ACCURACY).alias("q")).collect():
+            b = crowded[r[key]][i]
+            inner = _start(b.rank - b.counts[1], b.inside, b.lo, b.hi, r["q"])
+            b.lo, b.hi = inner.lo, inner.hi
+
+
+# ------------------------------------------------------------ percentile buckets
+
+def bucket_of(rank: int, n: int) -> int:
+    """0-10 bucket of a 0-based rank, rounded half to even."""
+    return min(10, max(0, round(rank / max(1, n - 1) * 10)))
+
+
+def _first_ranks(n: int) -> dict[int, int]:
+    """For each bucket 1-10 the smallest rank inside it, where there is one."""
+    out = {}
+    for bucket in range(1, 11):
+        guess = max(1, int((bucket - 0.5) * (n - 1) / 10) - 2)
+        first = next((r for r in range(guess, min(n, guess + 6)) if bucket_of(r, n) >= bucket), None)
+        if first is not None:
+            out[bucket] = first
+    return out
+
+
+def bucket_cuts(measures: DataFrame, key: str = "metric", value: str = "value") -> dict[str, list[float]]:
+    """Per metric the values a row must exceed to reach buckets 1, 2, ... 10.
+
+    Ties share the lowest rank: a row is in bucket b or above exactly when more
+    rows lie below it than the bucket's first rank, that is, when it exceeds
+    the value just before that rank."""
+    stats = order_statistics(
+        measures, lambda n: [r - 1 for r in _first_ranks(n).values()], key, value)
+    return {m: [s.at[r - 1] for r in _first_ranks(s.n).values()] for m, s in stats.items()}
+
+
+def apply_cuts(cuts: dict[str, list[float]], key: str = "metric", value: str = "value") -> Column:
+    """Bucket column from fitted cuts; NULL where the value is."""
+    return _steps(cuts, key, value, (">",))
 
 
 def percentile_buckets(
@@ -69,45 +228,40 @@ def percentile_buckets(
 ) -> DataFrame:
     """``measures`` with ``bucket``: the 0-10 percentile rank inside ``key``.
 
-    Only the bucket edges travel back to the rows, so no row is joined to its
-    own value and a value shared by a third of the rows costs nothing extra.
     NULL values keep a NULL bucket.  Negate the value to invert a measure.
     """
-    cuts = percentile_cuts(ranked_values(measures, key, value), key, value)
-    passed = F.filter(F.col("cuts"), lambda c: c["start"] <= F.col(value))
-    return (
-        measures.join(cuts, key, "left")
-        .withColumn("bucket", F.when(F.col(value).isNotNull(),
-                                     F.element_at(passed, -1)["bucket"]))
-        .drop("cuts"))
+    return measures.withColumn("bucket", apply_cuts(bucket_cuts(measures, key, value), key, value))
+
 
+# --------------------------------------------------------------------- quantiles
 
-def nearest_rank(ranks: DataFrame, qs: dict[str, float], key: str = "metric",
+def nearest_rank(measures: DataFrame, qs: dict[str, float], key: str = "metric",
                  value: str = "value") -> DataFrame:
-    """Quantiles by position ``round(q * (n - 1))``, one column per name."""
-    def at(q: float) -> Column:
-        pos = F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)
-        hit = (F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt"))
-        return F.max(F.when(hit, F.col(value)))
+    """Quantiles by position ``round(q * (n - 1))``: ``key, n, <name>...``"""
+    def spot(q: float, n: int) -> int:
+        return min(n - 1, math.floor(q * (n - 1) + 0.5))
 
-    return ranks.groupBy(key).agg(
-        F.max("n").alias("n"), *[at(q).alias(name) for name, q in qs.items()])
+    stats = order_statistics(measures, lambda n: [spot(q, n) for q in qs.values()], key, value)
+    rows = [(m, s.n, *[s.at[spot(q, s.n)] for q in qs.values()]) for m, s in stats.items()]
+    columns = ", ".join(f"{name} double" for name in qs)
+    return measures.sparkSession.createDataFrame(rows, f"{key} string, n long, {columns}")
 
 
-def interpolated_quantile(ranks: DataFrame, q: float, key: str = "metric",
+def interpolated_quantile(measures: DataFrame, q: float, key: str = "metric",
                           value: str = "value") -> DataFrame:
     """``key, q_value``: linear interpolation between the two nearest values."""
-    spot = F.lit(q) * (F.col("n") - 1)
+    def ends(n: int) -> list[int]:
+        return [math.floor(q * (n - 1)), math.ceil(q * (n - 1))]
 
-    def at(pos: Column) -> Column:
-        hit = (F.col("before") <= pos) & (pos < F.col("before") + F.col("cnt"))
-        return F.max(F.when(hit, F.col(value)))
+    stats = order_statistics(measures, ends, key, value)
+    rows = []
+    for m, s in stats.items():
+        lo, hi = (s.at[r] for r in ends(s.n))
+        rows.append((m, lo + (hi - lo) * (q * (s.n - 1) - math.floor(q * (s.n - 1)))))
+    return measures.sparkSession.createDataFrame(rows, f"{key} string, q_value double")
 
-    both = ranks.groupBy(key).agg(
-        at(F.floor(spot)).alias("lo"), at(F.ceil(spot)).alias("hi"),
-        F.max(spot - F.floor(spot)).alias("w"))
-    return both.select(key, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q_value"))
 
+# --------------------------------------------------------------------- positions
 
 def positions(
     df: DataFrame, keys: list[str], order: list[str], name: str = "position",

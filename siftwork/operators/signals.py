@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import dot, group_vector_sum, mean_pairwise_cosine
-from siftwork.operators.order_stats import interpolated_quantile, ranked_values
+from siftwork.operators.order_stats import interpolated_quantile
 from siftwork.operators.similarity import knn
 
 # Logit scale of the zero-shot softmax, margin below which a
@@ -96,5 +96,5 @@ def similarity_floor(vectors: DataFrame, q: float = 0.1, **options) -> DataFrame
     nearest = knn(vectors, vectors.withColumnRenamed("id", "query_id"), 1,
                   exclude_self=True, **options)
     values = nearest.select(F.lit("nn").alias("metric"), F.col("score").alias("value"))
-    return interpolated_quantile(ranked_values(values), q).select(
+    return interpolated_quantile(values, q).select(
         F.col("q_value").alias("floor"))

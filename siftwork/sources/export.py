@@ -43,14 +43,15 @@ def flat(records: DataFrame, scores: bool = True) -> DataFrame:
 def write_export(records: DataFrame, manifest_row: DataFrame, path: str, fmt: str) -> None:
     """Write records as ``json``, ``jsonl`` or ``csv`` under ``path``.
 
-    Data files are written in parallel; the manifest goes beside them.  As
-    JSON lines the first file holds the manifest record, and file names sort,
-    so reading in name order starts with it."""
+    Data files are written in parallel with the manifest beside them; the JSON
+    lines form also carries it as the first record of the first file."""
     manifest_row.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     if fmt == "csv":
         flat(records, "axes" in records.columns).write.mode("overwrite").option(
             "header", True).option("escape", '"').csv(f"{path}/data")
-    elif fmt in ("json", "jsonl"):
+    elif fmt == "jsonl":
+        jsonl_lines(records, manifest_row).write.mode("overwrite").text(f"{path}/data")
+    elif fmt == "json":
         records.write.mode("overwrite").json(f"{path}/data")
     else:
         raise ValueError(f"unknown export format {fmt!r}")
