@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH = 128
 
@@ -47,7 +48,7 @@ def encode_column(make: Callable[[], Encoder], column: Column, kind: str = "text
     """Vectors of a column.  ``make`` runs once per Python worker, so a model
     is loaded there and not per batch."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = getattr(make(), f"encode_{kind}")
         for series in batches:

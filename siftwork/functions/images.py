@@ -10,11 +10,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Luma weights in B, G, R order, and the hash grid.
 LUMA_BGR = (0.114, 0.587, 0.299)
 HASH_SIDE = 8
 
+_MEASURES = T.StructType([T.StructField("blur", T.DoubleType()), T.StructField("luma", T.DoubleType()),
+                          T.StructField("dhash", T.LongType())])
+_MASK_FACTS = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("x", "y", "w", "h", "area_fraction")]
+    + [T.StructField("pixels", T.LongType())])
+
 
 def grey(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
     """Grey levels 0..255, None for bytes that are not the stated size."""
@@ -51,7 +58,7 @@ def difference_hash(g: np.ndarray, side: int = HASH_SIDE) -> int:
     return int(np.packbits(bits).view(">u8")[0].astype(np.int64))
 
 
-@F.pandas_udf("blur double, luma double, dhash long")
+@F.pandas_udf(_MEASURES)
 def _measure(height: pd.Series, width: pd.Series, channels: pd.Series,
              data: pd.Series) -> pd.DataFrame:
     rows = []
@@ -77,7 +84,7 @@ def image_measures(images: DataFrame) -> DataFrame:
     return images.select("filename", m.alias("m")).select("filename", "m.*")
 
 
-@F.pandas_udf("x double, y double, w double, h double, area_fraction double, pixels long")
+@F.pandas_udf(_MASK_FACTS)
 def _mask(raster: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     rows = []
     for data, w, h in zip(raster, width, height):

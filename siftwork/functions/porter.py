@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The suffix tables of the published algorithm, longest first
 # where one rule hides another.
@@ -94,7 +95,7 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_column(words: pd.Series) -> pd.Series:
     return words.map(stem)
 

@@ -1,6 +1,6 @@
 """All bound queries.  Importing the modules registers them."""
 
-from siftwork.plans import corpus_queries  # noqa: F401
+from siftwork.plans import corpus_queries, vector_queries  # noqa: F401
 from siftwork.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
