@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 from siftwork.functions.porter import stemmed as stem_tokens
+from siftwork.session import reliable_checkpoint
 
 # BM25 parameters, the floor of a term weight, and the share of
 # samples from which a term counts as common.
@@ -103,9 +104,12 @@ def bm25_captions(
 ) -> DataFrame:
     """``query_id, caption_id, sample_id, score``: captions matching the whole
     conjunction, higher is better.  ``allowed`` (sample ids) restricts the
-    candidates inside the ranking; weights stay those of the whole corpus."""
+    candidates inside the ranking; weights stay those of the whole corpus.
+
+    The hits are written out once: they are what is left of the corpus after
+    one pass, and every later step reads them."""
     phrases = query_phrases(queries, stem)
-    hits = phrase_hits(captions, phrases, stem)
+    hits = reliable_checkpoint(phrase_hits(captions, phrases, stem))
     lengths = captions.agg(
         F.struct(F.count(F.lit(1)).alias("n"),
                  F.avg(F.size(tx.index_tokens(F.col("text")))).alias("mean")).alias("s"))
@@ -117,9 +121,10 @@ def bm25_captions(
     n, mean = F.col("_s.n"), F.col("_s.mean")
     scored = matched.withColumn("part", F.col("times") * _weight(n, F.col("df"))
                                 * _saturation(F.col("tf"), F.col("length"), mean))
+    # Rounded, so that copies of one text tie whatever the order of the sum.
     return (
         scored.groupBy("query_id", "caption_id", "sample_id")
-        .agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("k"),
+        .agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("k"),
              F.first("n_terms").alias("n_terms"))
         .where(F.col("k") == F.col("n_terms"))
         .select("query_id", "caption_id", "sample_id", "score"))
@@ -145,15 +150,17 @@ def best_caption_per_sample(scored: DataFrame) -> DataFrame:
 def keyword_ranking(
     captions: DataFrame, queries: DataFrame, depth: int, *, stem: bool = False,
     exclude: DataFrame | None = None, allowed: DataFrame | None = None,
-    vlm_tags: DataFrame | None = None,
+    vlm_tags: DataFrame | None = None, scored: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, id, rank, caption_id`` to ``depth``.
 
     Samples found only through a model tag follow the caption hits, without
-    repeats, while the list is shorter than ``depth``.
+    repeats, while the list is shorter than ``depth``.  ``scored`` passes in
+    captions already scored.
     """
-    best = best_caption_per_sample(
-        bm25_captions(captions, queries, stem=stem, exclude=exclude, allowed=allowed))
+    if scored is None:
+        scored = bm25_captions(captions, queries, stem=stem, exclude=exclude, allowed=allowed)
+    best = best_caption_per_sample(scored)
     lane = best.select("query_id", "id", "caption_id", F.lit(0).alias("source"), "score")
     if vlm_tags is not None:
         lane = _with_tag_hits(lane, queries, vlm_tags, allowed)
@@ -178,13 +185,9 @@ def _with_tag_hits(lane, queries, vlm_tags, allowed):
         "query_id", "id", "m.caption_id", "m.source", "m.score")
 
 
-def pool_sizes(
-    captions: DataFrame, queries: DataFrame, *, stem: bool = False,
-    exclude: DataFrame | None = None,
-) -> DataFrame:
+def pool_sizes(scored: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, pool``: distinct samples matched, before any cut; 0 if none."""
-    matched = bm25_captions(captions, queries, stem=stem, exclude=exclude)
-    pool = matched.groupBy("query_id").agg(F.count_distinct("sample_id").alias("pool"))
+    pool = scored.groupBy("query_id").agg(F.count_distinct("sample_id").alias("pool"))
     return queries.select("query_id").join(pool, "query_id", "left").fillna(0, ["pool"])
 
 

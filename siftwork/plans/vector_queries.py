@@ -409,9 +409,9 @@ def negative_only(spark, sf):
 
 
 @query("by_vector", _join("""
-    , q AS (SELECT id, label % 2 = 1 AS neg, v FROM vecs),
+    , q AS (SELECT id, label % 2 = 1 AS neg, v, sqrt(list_dot_product(v, v)) AS norm FROM vecs),
     t AS (SELECT q.id AS query_id, x.id, CASE WHEN neg THEN -1 ELSE 1 END * list_dot_product(q.v, x.v)
-              AS score FROM q, vecs x WHERE x.id <> q.id),
+              / norm AS score FROM q, vecs x WHERE x.id <> q.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t)
     SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank, 'composed' AS score_basis
     FROM r WHERE rank <= 10""", "vecs"))
@@ -483,9 +483,10 @@ def album_different(spark, sf):
 
 
 @query("coherence", _join("""
-    SELECT x.album_id, count(DISTINCT x.sample_id) AS n, round(avg(score), 6) AS coherence
-    FROM items x JOIN items y ON x.album_id = y.album_id AND x.sample_id <> y.sample_id
-    JOIN sims ON a_id = x.sample_id AND b_id = y.sample_id GROUP BY x.album_id""",
+    , p AS (SELECT x.album_id, count(DISTINCT x.sample_id) AS n, sum(score) AS total
+            FROM items x JOIN items y ON x.album_id = y.album_id
+            JOIN sims ON a_id = x.sample_id AND b_id = y.sample_id GROUP BY x.album_id)
+    SELECT album_id, n, round((total - n) / (n * (n - 1)), 6) AS coherence FROM p WHERE n > 1""",
     "items", "vecs", "sims"))
 def coherence(spark, sf):
     c = b.parts(spark, sf)
