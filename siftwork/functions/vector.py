@@ -16,9 +16,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """L2-normalized; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """L2-normalized; a zero vector stays zero.
+
+    The norm is spread into an array first: inside the lambda it would be
+    computed again for every element."""
+    norms = F.array_repeat(norm(v), F.size(v))
+    return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
 def scale(v: Column, by: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 from siftwork.functions.porter import stemmed as stem_tokens
-from siftwork.session import reliable_checkpoint
+from siftwork.session import reliable_checkpoint, spread
 
 # BM25 parameters, the floor of a term weight, and the share of
 # samples from which a term counts as common.
@@ -21,6 +21,10 @@ B = 0.75
 IDF_FLOOR = 1e-6
 COMMON_FRACTION = 0.20
 
+# Query phrases are broadcast to the captions up to this many (some ten MB);
+# beyond, both sides are shuffled by token.
+HELD_PHRASES = 200_000
+
 
 def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
     """``query_id, phrase, times``: the phrases each query insists on.
@@ -52,7 +56,7 @@ def phrase_hits(captions: DataFrame, phrases: DataFrame, stem: bool = False) ->
     wanted = distinct.select(
         "phrase", F.size(F.split("phrase", " ")).alias("width"),
         F.posexplode(F.split("phrase", " ")).alias("off", "token"))
-    tokens = captions.select(
+    tokens = spread(captions.select("id", "sample_id", "text")).select(
         F.col("id").alias("caption_id"), "sample_id",
         tx.index_tokens(F.col("text")).alias("tokens"))
     postings = tokens.select(
@@ -60,17 +64,21 @@ def phrase_hits(captions: DataFrame, phrases: DataFrame, stem: bool = False) ->
         F.posexplode("tokens").alias("pos", "token"))
     if stem:
         postings = stem_tokens(postings)
+    if distinct.limit(HELD_PHRASES + 1).count() <= HELD_PHRASES:
+        wanted = F.broadcast(wanted)
+    # A one-token phrase needs no start: its rows are its occurrences.
+    start = F.when(F.col("width") > 1, F.col("pos") - F.col("off")).otherwise(F.lit(-1))
     found = (
         postings.join(wanted, "token")
-        .select("phrase", "caption_id", "sample_id", "length", "width",
-                (F.col("pos") - F.col("off")).alias("start"))
+        .select("phrase", "caption_id", "sample_id", "length", "width", start.alias("start"))
         .repartition("caption_id"))
     starts = found.groupBy("caption_id", "phrase", "sample_id", "length", "start").agg(
         F.count(F.lit(1)).alias("k"), F.max("width").alias("width"))
+    times = F.when(F.col("width") > 1, F.lit(1)).otherwise(F.col("k"))
     return (
-        starts.where(F.col("k") == F.col("width"))
+        starts.where((F.col("width") == 1) | (F.col("k") == F.col("width")))
         .groupBy("caption_id", "phrase", "sample_id", "length")
-        .agg(F.count(F.lit(1)).alias("tf")))
+        .agg(F.sum(times).alias("tf")))
 
 
 def conjunctive_matches(
@@ -108,9 +116,9 @@ def bm25_captions(
 
     The hits are written out once: they are what is left of the corpus after
     one pass, and every later step reads them."""
-    phrases = query_phrases(queries, stem)
+    phrases = reliable_checkpoint(query_phrases(queries, stem))
     hits = reliable_checkpoint(phrase_hits(captions, phrases, stem))
-    lengths = captions.agg(
+    lengths = spread(captions.select("text")).agg(
         F.struct(F.count(F.lit(1)).alias("n"),
                  F.avg(F.size(tx.index_tokens(F.col("text")))).alias("mean")).alias("s"))
     matched = conjunctive_matches(queries, phrases, hits, exclude)
@@ -225,7 +233,8 @@ def vocabulary_signals(captions: DataFrame) -> DataFrame:
     mismatch is part of the measure.  ``word_rarity`` is the mean of the three
     rarest words and NULL for a sample without any.
     """
-    words = captions.select("id", "sample_id", tx.vocabulary(F.col("text")).alias("words"))
+    words = spread(captions.select("id", "sample_id", "text")).select(
+        "id", "sample_id", tx.vocabulary(F.col("text")).alias("words"))
     n_samples = captions.agg(F.count_distinct("sample_id").alias("n"))
     tokens = words.select("sample_id", F.explode(F.array_distinct("words")).alias("word"))
     per_sample_word = tokens.groupBy("sample_id", "word").agg(F.count(F.lit(1)).alias("k"))
@@ -233,7 +242,7 @@ def vocabulary_signals(captions: DataFrame) -> DataFrame:
     weights = df.select("word", F.log(
         F.greatest(n_samples.scalar(), F.lit(1)) / (1 + F.col("df"))).alias("idf"))
     weighted = per_sample_word.join(weights, "word")
-    spread = weighted.groupBy("sample_id").agg(F.count(F.lit(1)).alias("vocab"))
+    named = weighted.groupBy("sample_id").agg(F.count(F.lit(1)).alias("vocab"))
     # Top three per sample: the rank limit is pushed below the shuffle.
     order = Window.partitionBy("sample_id").orderBy(F.col("idf").desc(), "word")
     top = weighted.withColumn("pos", F.row_number().over(order)).where("pos <= 3")
@@ -241,6 +250,6 @@ def vocabulary_signals(captions: DataFrame) -> DataFrame:
     lengths = words.groupBy("sample_id").agg(
         F.coalesce(F.stddev_pop(F.size("words")), F.lit(0.0)).alias("length_sd"))
     return (
-        lengths.join(spread, "sample_id", "left").join(rarity, "sample_id", "left")
+        lengths.join(named, "sample_id", "left").join(rarity, "sample_id", "left")
         .select("sample_id", "word_rarity",
                 F.coalesce("vocab", F.lit(0)).cast("double").alias("vocab"), "length_sd"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.operators import vector_blocks as vb
+from siftwork.session import spread
 
 PAIR_SCHEMA = "a_id long, b_id long, score double"
 HIT_SCHEMA = "query_id long, id long, score double"
@@ -88,12 +89,6 @@ def _pairs_against_held(vectors: DataFrame, held: vb.Held, threshold: float) ->
     return spread(vectors).mapInArrow(run, PAIR_SCHEMA)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before a compute-heavy map; a few large files would
-    otherwise leave most of them idle."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
-
-
 # ------------------------------------------------------------------------ top-k
 
 def best_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +127,7 @@ def ranked(hits: DataFrame, k: int | None = None, key: str = "query_id") -> Data
 def knn(
     corpus: DataFrame, queries: DataFrame, k: int, *, exclude_self: bool = False,
     penalty: str | None = None, max_bytes: int = vb.BROADCAST_BYTES,
-    block_rows: int = vb.BLOCK_ROWS,
+    block_rows: int = vb.BLOCK_ROWS, width: int | None = None,
 ) -> DataFrame:
     """Exact top-k of ``corpus`` per query: ``query_id, id, score, rank``.
 
@@ -144,7 +139,7 @@ def knn(
     extra = [penalty] if penalty else []
     corpus = corpus.select("id", "embedding", *extra)
     queries = queries.select("query_id", "embedding")
-    held = vb.hold_if_small(queries, "query_id", "embedding", max_bytes=max_bytes)
+    held = vb.hold_if_small(queries, "query_id", "embedding", max_bytes=max_bytes, width=width)
     if held is not None:
         hits = _knn_held_queries(corpus, held, k, exclude_self, penalty)
     else:

@@ -64,22 +64,24 @@ class Held:
 
 def hold_if_small(
     df: DataFrame, id_col: str, vec_col: str, extra: list[str] = (),
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = BROADCAST_BYTES, width: int | None = None,
 ) -> Held | None:
     """The side as arrays when it fits ``max_bytes``, else None.
 
     A short first read settles small sides and gives the width; the second
-    stops one row past the bound, so an oversized side is never pulled in.
+    stops one row past the bound, so an oversized side is never pulled in.  A
+    caller that knows the ``width`` saves the first read.
     """
     columns = df.select(id_col, vec_col, *extra)
-    table = columns.limit(_FIRST_READ + 1).toArrow()
+    first = _FIRST_READ if width is None else max(1, max_bytes // (8 * width))
+    table = columns.limit(first + 1).toArrow()
     if table.num_rows == 0:
         return Held(np.zeros(0, np.int64), np.zeros((0, 0)), {c: np.zeros(0) for c in extra})
     width = len(table[vec_col][0].as_py())
     bound = max(1, max_bytes // (8 * max(1, width)))
-    if table.num_rows > min(bound, _FIRST_READ):
-        if table.num_rows > bound:
-            return None
+    if table.num_rows > bound:
+        return None
+    if table.num_rows > first:
         table = columns.limit(bound + 1).toArrow()
         if table.num_rows > bound:
             return None

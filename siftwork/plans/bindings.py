@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwork.corpus import AXES, Corpus
 from siftwork.operators.order_stats import percentile_buckets
+from siftwork.session import reliable_checkpoint
 
 SPLIT_SQL = ("CASE WHEN source LIKE '%8' THEN 'validation' "
              "WHEN source LIKE '%9' THEN 'test' ELSE 'train' END")
@@ -30,7 +31,8 @@ def with_axes(samples: DataFrame, measures: dict[str, Column], key: str = "id")
     entries = F.array(*[F.struct(F.lit(a).alias("metric"), m.cast("double").alias("value"))
                         for a, m in measures.items()])
     rows = samples.select(key, F.explode(entries).alias("e")).select(key, "e.*")
-    scored = percentile_buckets(rows)
+    # The fit reads the measures several times; the texts behind them once.
+    scored = percentile_buckets(reliable_checkpoint(rows))
     wide = scored.groupBy(key).agg(
         *[F.max(F.when(F.col("metric") == a, F.col("bucket"))).alias(a) for a in AXES])
     return samples.join(wide, key, "left")

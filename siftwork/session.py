@@ -67,3 +67,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back without lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before a compute-heavy step, when the input is too
+    small to be split that far by itself.
+
+    The size comes from the plan's statistics, so nothing runs.  Large inputs
+    are left alone: their files already make more tasks than cores, and moving
+    them would cost a shuffle."""
+    spark = df.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * split else df.repartition(cores)
