@@ -64,5 +64,5 @@ def axes_wide(scored: DataFrame) -> DataFrame:
     names = list(dict.fromkeys(axis for axis, *_ in COMPONENTS))
     return scored.groupBy("id").agg(
         *[F.max(F.when(F.col("axis") == a, F.col("score"))).alias(a) for a in names],
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            "axis", F.struct("detail", "why").alias("d"))))).alias("axis_detail"))
+        F.map_from_entries(F.collect_list(F.struct(
+            "axis", F.struct("detail", "why").alias("d")))).alias("axis_detail"))

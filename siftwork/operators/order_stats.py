@@ -220,7 +220,7 @@ def bucket_cuts(measures: DataFrame, key: str = "metric", value: str = "value")
 
 def apply_cuts(cuts: dict[str, list[float]], key: str = "metric", value: str = "value") -> Column:
     """Bucket column from fitted cuts; NULL where the value is."""
-    return _steps(cuts, key, value, (">",))
+    return F.when(F.col(value).isNotNull(), _steps(cuts, key, value, (">",)))
 
 
 def percentile_buckets(

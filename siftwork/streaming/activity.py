@@ -12,7 +12,7 @@ def activity_windows(events: DataFrame, width: str = "1 hour",
     """Counts per kind in tumbling windows of ``ts``; the same plan serves a
     table and a stream, which passes a watermark to bound its state."""
     if watermark is not None:
-        events = events.withWatermark("ts", watermark)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return events.groupBy(F.window("ts", width), "kind").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
         "kind", "n")
