@@ -140,7 +140,7 @@ def knn(
     corpus = corpus.select("id", "embedding", *extra)
     queries = queries.select("query_id", "embedding")
     held = vb.hold_if_small(queries, "query_id", "embedding", max_bytes=max_bytes, width=width)
-    if held is not None:
+    if held is not None and 16 * k * len(held.ids) <= 2 * max_bytes:
         hits = _knn_held_queries(corpus, held, k, exclude_self, penalty)
     else:
         held = vb.hold_if_small(corpus, "id", "embedding", extra, max_bytes=max_bytes)
@@ -156,7 +156,8 @@ def _mask_self(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray) -> None
 
 
 def _knn_held_queries(corpus, held, k, exclude_self, penalty):
-    """Queries in every task, corpus streamed past them; one top-k per task."""
+    """Queries in every task, corpus streamed past them; one top-k per task.
+    The caller has checked that queries times k fit a task."""
     handle = corpus.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):

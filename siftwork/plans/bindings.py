@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftwork.corpus import AXES, Corpus
 from siftwork.operators.order_stats import percentile_buckets
-from siftwork.session import reliable_checkpoint
+from siftwork.session import reliable_checkpoint, spread
 
 SPLIT_SQL = ("CASE WHEN source LIKE '%8' THEN 'validation' "
              "WHEN source LIKE '%9' THEN 'test' ELSE 'train' END")
@@ -72,7 +72,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_captions(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select(
+    lines = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "raw"))
     return lines.select(
         (F.col("doc_id") * 1000000 + F.col("idx")).alias("id"), F.col("doc_id").alias("sample_id"),
