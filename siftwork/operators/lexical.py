@@ -237,7 +237,9 @@ def vocabulary_signals(captions: DataFrame) -> DataFrame:
         "id", "sample_id", tx.vocabulary(F.col("text")).alias("words"))
     n_samples = captions.agg(F.count_distinct("sample_id").alias("n"))
     tokens = words.select("sample_id", F.explode(F.array_distinct("words")).alias("word"))
-    per_sample_word = tokens.groupBy("sample_id", "word").agg(F.count(F.lit(1)).alias("k"))
+    # Weights, top words and counts all read this table; the text is split once.
+    per_sample_word = reliable_checkpoint(
+        tokens.groupBy("sample_id", "word").agg(F.count(F.lit(1)).alias("k")))
     df = per_sample_word.groupBy("word").agg(F.sum("k").alias("df"))
     weights = df.select("word", F.log(
         F.greatest(n_samples.scalar(), F.lit(1)) / (1 + F.col("df"))).alias("idf"))
