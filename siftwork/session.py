@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +35,23 @@ def get_session(app: str = "siftwork", master: str | None = None, **conf: str) -
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    it need not be installed on every node."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftwork_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="spark-siftwork-"), "siftwork"), "zip",
+        os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(archive)
+    sc._siftwork_shipped = True
 
 
 def _local_cores(master: str) -> int:
