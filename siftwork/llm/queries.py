@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import sentencepieces, simhash, token_counts, url_filters
+from siftwork.llm import repeats, sentencepieces, simhash, token_counts, url_filters
 from siftwork.llm.common import table
 from siftwork.session import ship_package
 
@@ -43,6 +43,11 @@ def op4(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"))
 
 
+@query("op6_repeats")
+def op6(spark, sf):
+    return repeats.repeat_report(table(spark, sf, "documents"))
+
+
 @query("op8_simhash")
 def op8(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
