@@ -10,7 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import repeats, sentencepieces, simhash, token_counts, url_filters
+from siftwork.llm import (
+    decontamination,
+    minhash,
+    repeats,
+    sentencepieces,
+    simhash,
+    token_counts,
+    url_filters,
+)
 from siftwork.llm.common import table
 from siftwork.session import ship_package
 
@@ -43,6 +51,12 @@ def op4(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"))
 
 
+@query("op5_decontamination")
+def op5(spark, sf):
+    return decontamination.contamination(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("copy")
+
+
 @query("op6_repeats")
 def op6(spark, sf):
     return repeats.repeat_report(table(spark, sf, "documents"))
@@ -101,3 +115,8 @@ def op9(spark, sf):
     listed = pages.where(url_filters.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(
         url_filters.canonical_url(F.col("url")).alias("canonical"))
     return url_filters.filter_urls(pages, listed, RULES)
+
+
+@query("op10_fingerprints")
+def op10(spark, sf):
+    return minhash.edited_fingerprints(table(spark, sf, "documents"))
