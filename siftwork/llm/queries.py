@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm import (
     decontamination,
+    language_model,
     minhash,
     repeats,
     sentencepieces,
@@ -41,6 +42,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op2_language_model")
+def op2(spark, sf):
+    return language_model.lm_scores(table(spark, sf, "documents"))
+
+
 @query("op3_sentencepieces")
 def op3(spark, sf):
     return sentencepieces.piece_digests(table(spark, sf, "documents"))
