@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftwork.llm import (
     decontamination,
     language_model,
+    licenses,
     minhash,
+    quality,
     repeats,
     sentencepieces,
     simhash,
@@ -42,6 +45,41 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _canonical_sql(text: str) -> str:
+    """The canonical form of licenses.canonical."""
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({out}, '{quoted(licenses.COPYRIGHT_LINE)}', chr(10), 'g')"
+    for one, other in licenses.SPELLINGS:
+        out = f"replace({out}, '{quoted(one)}', '{quoted(other)}')"
+    out = f"translate({out}, '{licenses.TYPOGRAPHIC}', '{' ' * len(licenses.TYPOGRAPHIC)}')"
+    return f"trim(regexp_replace({out}, '{licenses.NOT_WORDS}', ' ', 'g'), ' ')"
+
+
+def _known_sql(rows: list[tuple[str, str]]) -> str:
+    values = ", ".join("('" + a + "', '" + t.replace("'", "''") + "')" for a, t in rows)
+    return (f"SELECT sha256({_canonical_sql('t')}) AS digest, min(a) AS license FROM (VALUES {values}) v(a, t) "
+            f"GROUP BY 1")
+
+
+_LICENSE_SQL = f"""
+WITH texts AS ({_known_sql(licenses.known_texts())}), notices AS ({_known_sql(licenses.known_notices())}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
+lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
+named AS (SELECT r, string_agg(DISTINCT n.license, ',' ORDER BY n.license) AS notices
+  FROM (SELECT r, sha256({_canonical_sql('line')}) AS digest FROM lines
+        WHERE regexp_matches(line, '[lL][iI][cC][eE][nN][cCsS][eE]')) l JOIN notices n USING (digest) GROUP BY r)
+SELECT d.doc_id, d.digest, t.license, n.notices
+FROM docs d LEFT JOIN texts t USING (digest) LEFT JOIN named n USING (r)
+"""
+
+
+@query("op1_license_scan", _LICENSE_SQL)
+def op1(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"), licenses.built_in(spark, licenses.known_texts()),
+                         licenses.built_in(spark, licenses.known_notices()))
+
+
 @query("op2_language_model")
 def op2(spark, sf):
     return language_model.lm_scores(table(spark, sf, "documents"))
@@ -68,6 +106,11 @@ def op6(spark, sf):
     return repeats.repeat_report(table(spark, sf, "documents"))
 
 
+@query("op7_quality")
+def op7(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("copy")
+
+
 @query("op8_simhash")
 def op8(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
@@ -126,3 +169,8 @@ def op9(spark, sf):
 @query("op10_fingerprints")
 def op10(spark, sf):
     return minhash.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

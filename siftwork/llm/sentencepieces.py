@@ -20,7 +20,9 @@ import heapq
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,8 +103,8 @@ class PieceCodec:
         self.segment = re.compile("(?s).+" if inner else
                                   f"{MARK}*[^{MARK}]+|{MARK}+" if breaks else
                                   f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-        self.kept: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.kept: dict[str, tuple[str, tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...], str]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each byte of it (and its end) the byte
@@ -248,8 +250,8 @@ class PieceCodec:
             parts.append(_read(bytes(run)))
         return "".join(parts)
 
-    def _segment(self, segment: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and what they decode to inside a text."""
+    def _segment(self, segment: str) -> tuple[str, tuple[int, ...], str]:
+        """Ids as text and as numbers, and what they decode to inside a text."""
         entry = self.older.get(segment)
         if entry is None:
             pieces = self.merge(segment)
@@ -259,24 +261,29 @@ class PieceCodec:
                 shown = shown.replace(MARK, " ")
             else:
                 shown = self.decode([self.byte_ids[0], *ids])[1:] if self.fallback else self.decode(ids)
-            entry = (",".join(map(str, ids)), len(ids), shown)
+            entry = (",".join(map(str, ids)), tuple(ids), shown)
         if len(segment) <= LONG:
             if len(self.kept) >= KEPT:  # what was used lately stays one round longer
                 self.older, self.kept = self.kept, {}
             self.kept[segment] = entry
         return entry
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
+    def coded(self, text: str | None) -> tuple[list[tuple[int, ...]], str, str]:
+        """Ids by segment, all ids as text, and the text that they decode to."""
         get, new = self.kept.get, self._segment
         found = [get(s) or new(s) for s in self.segment.findall(self._quick(text or ""))]
         if not found:
-            return 0, _sha(""), _sha("")
-        ids, counts, shown = zip(*found, strict=True)
+            return [], "", ""
+        names, ids, shown = zip(*found, strict=True)
         joined = "".join(shown)
-        if (self.dummy or self.tidy) and joined.startswith(" ") and found[0][0]:
+        if (self.dummy or self.tidy) and joined.startswith(" "):
             joined = joined[1:]
-        return sum(counts), _sha(",".join(ids)), _sha(joined)
+        return list(ids), ",".join(names), joined
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
+        ids, names, shown = self.coded(text)
+        return sum(map(len, ids)), _sha(names), _sha(shown)
 
 
 def _read(run: bytes) -> str:
@@ -310,22 +317,25 @@ def piece_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
         "doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ``ids`` and, if asked for, the ``begins`` and
-    ``ends`` of every piece in bytes of the original text."""
+def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``ids`` and ``decoded``, what the ids decode
+    to; with ``spans`` also ``begins`` and ``ends`` of every piece, in bytes of the
+    original text."""
     path = tokenizer_file(model)
-    kind = "ids array<int>, begins array<int>, ends array<int>" if spans else "ids array<int>"
+    kind = "ids array<int>, decoded string" + ", begins array<int>, ends array<int>" * spans
 
     @F.pandas_udf(kind)
     def encode(texts: pd.Series) -> pd.DataFrame:
         of = codec(path)
-        if not spans:
-            return pd.DataFrame({"ids": [of.encode(t) for t in texts]})
-        found = [of.encode_spans(t) for t in texts]
-        return pd.DataFrame({n: [[x[k] for x in f] for f in found]
-                             for k, n in enumerate(("ids", "begins", "ends"))})
-
-    taken = {"ids", "begins", "ends"} if spans else {"ids"}
+        coded = [of.coded(t) for t in texts]
+        out = {"ids": [np.fromiter(chain.from_iterable(ids), np.int32) for ids, _, _ in coded],
+               "decoded": [shown for _, _, shown in coded]}
+        if spans:
+            found = [of.encode_spans(t) for t in texts]
+            out |= {n: [[x[k] for x in f] for f in found] for k, n in ((1, "begins"), (2, "ends"))}
+        return pd.DataFrame(out)
+
+    taken = {"ids", "decoded", "_pieces"} | ({"begins", "ends"} if spans else set())
     kept = [c for c in docs.columns if c.lower() not in taken]
     return docs.select(*kept, encode("text").alias("_pieces")).select(*kept, "_pieces.*")
 

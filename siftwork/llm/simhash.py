@@ -55,13 +55,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, print) with the fingerprint's bits as a signed long."""
+    """(doc_id, copy, print): the fingerprint's bits as a signed long, and a hash
+    of the text."""
 
     @F.pandas_udf(T.LongType())
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", simhash("text").alias("print"))
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), simhash("text").alias("print"))
 
 
 def _block_masks(max_bits: int) -> list[int]:
@@ -106,14 +107,31 @@ def close_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+def _grouped(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """(doc_id, copy, print, root): root names the group of linked fingerprints."""
     prints = saved(fingerprints(docs, size))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(close_links(prints, max_bits))
-    rooted = first.join(roots, first["print"] == roots["node"], "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(named, "root").select("print", "component_id")
-    return prints.join(of_print, "print").select(
+    distinct = prints.select("print").distinct()
+    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select(
+        "print", F.coalesce("root", "print").alias("root"))
+    return prints.join(rooted, "print")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    grouped = saved(_grouped(docs, size, max_bits))
+    named = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(named, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group: the least doc_id, the least text hash
+    of its texts; a document without id stands behind all others."""
+    grouped = _grouped(docs, size, max_bits)
+    first = grouped.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["_copy"])
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, same, "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
