@@ -2,8 +2,9 @@
 
 *Document evidence.*  Two logistic models, for low quality and for toxicity, over
 measures of a text's form and over how many words of a learned list it holds.
-They are fitted on at most ``SAMPLE`` labelled rows (those of least hash): one half
-gives the word lists, the other the weights.
+They are fitted on at most ``SAMPLE`` labelled rows (those of least hash).  Words and
+their beginnings are listed if they speak for a class; for the weights, each half of
+the sample is measured with the list that the other half gives.
 
 *Sites.*  Every document counts for its host and, below that, its path, with its
 label where it has one and its document evidence elsewhere.  Rates are shrunk in
@@ -34,7 +35,9 @@ from siftwork.llm.common import saved
 SAMPLE = 16_000
 #: A listed word is in this many sampled texts of the class, at least, and this
 #: many times as likely there as elsewhere; so many words are listed, at most.
-IN_TEXTS, TIMES, LISTED = 5, 16.0, 4_000
+IN_TEXTS, TIMES, LISTED = 3, 16.0, 4_000
+#: Letters of a word's beginning, which is listed like a word.
+START = 4
 HEADS = ("low", "toxic")
 LIMIT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,6 +53,7 @@ def form(text: str | None, lists: list[frozenset[str]]) -> list[float]:
     letters = max(1, int(raw[65:91].sum() + raw[97:123].sum() + raw[192:].sum()))
     lines = [x for x in text.split("\n") if x]
     found = set(_WORD.findall(text.lower()))
+    found |= {w[:START] + "*" for w in found}
     marks = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum())
     return [
         np.log1p(len(words)), raw[65:91].sum() / letters, marks / size, raw[48:58].sum() / size,
@@ -103,30 +107,46 @@ def _per_document(labels: DataFrame) -> DataFrame:
     ).na.fill(0.0, list(HEADS))
 
 
-def _listed(sample: DataFrame, head: str) -> frozenset[str]:
-    """Words that speak for the class: a grouped count over the first half."""
-    words = sample.where("half = 0").select(head, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("word"))
-    n = sample.where("half = 0").agg(F.sum(head).alias("p"), F.sum(1 - F.col(head)).alias("q")).first()
-    if not n["p"] or not n["q"]:
+def _spoken(sample: DataFrame) -> DataFrame:
+    """(word, and for each half the texts and the texts of each class with it)."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))
+    both = F.array_union(words, F.transform(words, lambda w: F.concat(F.substr(w, F.lit(1), F.lit(START)), F.lit("*"))))
+    rows = sample.select(*HEADS, "half", F.explode(both).alias("word"))
+    sums = [F.sum(F.when(F.col("half") == i, what).otherwise(0.0)).alias(f"{name}{i}")
+            for i in (0, 1) for name, what in (("n", F.lit(1.0)), *((h, F.col(h)) for h in HEADS))]
+    return rows.groupBy("word").agg(*sums).where(F.col("n0") + F.col("n1") >= IN_TEXTS)
+
+
+def _listed(spoken: DataFrame, totals: dict, head: str, halves: tuple[int, ...]) -> frozenset[str]:
+    """Words that speak for the class in the given halves of the sample."""
+    p = sum(F.col(f"{head}{i}") for i in halves)
+    q = sum(F.col(f"n{i}") for i in halves) - p
+    of_p = sum(totals[f"{head}{i}"] for i in halves)
+    of_q = sum(totals[f"n{i}"] for i in halves) - of_p
+    if not of_p or not of_q:
         return frozenset()
-    odds = (F.col("p") / float(n["p"])) / ((F.col("q") + 0.5) / float(n["q"]))
-    top = words.groupBy("word").agg(F.sum(head).alias("p"), F.sum(1 - F.col(head)).alias("q")).where(
-        (F.col("p") >= IN_TEXTS) & (odds >= TIMES)).orderBy(odds.desc(), "word").limit(LISTED)
-    return frozenset(r["word"] for r in top.collect())
+    odds = (p / of_p) / ((q + 0.5) / of_q)
+    top = spoken.where((p >= IN_TEXTS) & (odds >= TIMES)).orderBy(odds.desc(), "word").limit(LISTED)
+    return frozenset(r["word"] for r in top.select("word").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[list], np.ndarray]:
     """The document models, as a function from texts to a column for each head."""
     rows = saved(_labelled(docs, labels, sample))
-    lists = [_listed(rows, h) for h in HEADS]
+    spoken = saved(_spoken(rows))
+    totals = {k: float(v or 0) for k, v in rows.agg(*[
+        F.sum(F.when(F.col("half") == i, what).otherwise(0.0)).alias(f"{name}{i}")
+        for i in (0, 1) for name, what in (("n", F.lit(1.0)), *((h, F.col(h)) for h in HEADS))]).first().asDict().items()}
+    other, lists = {}, [_listed(spoken, totals, h, (0, 1)) for h in HEADS]
+    for half in (0, 1):
+        other[half] = [_listed(spoken, totals, h, (1 - half,)) for h in HEADS]
     width = len(form("", lists))
 
     @F.pandas_udf("array<double>")
-    def measured(texts: pd.Series) -> pd.Series:
-        return pd.Series([form(t, lists) for t in texts])
+    def measured(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        return pd.Series([form(t, other[int(h)]) for t, h in zip(texts, halves, strict=True)])
 
-    seen = rows.where("half = 1").select(measured("text").alias("x"), *HEADS).toPandas()
+    seen = rows.select(measured("text", "half").alias("x"), *HEADS).toPandas()
     x = np.array(seen["x"].tolist(), float).reshape(-1, width)
     heads = [Head(x, seen[h].to_numpy(float)) for h in HEADS]
 
