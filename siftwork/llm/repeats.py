@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.llm.common import buckets_of, saved
 
@@ -367,25 +368,23 @@ def _applied(characters: bool):
             runs.append(len(cut))
             digests.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode("utf-8", "replace") if characters else None)
-        more = {"_bytes": pa.array([len(t) for t in texts], pa.int64()), "_removed": pa.array(removed, pa.int64()),
-                "_spans": pa.array(runs, pa.int64()), "_sha256": pa.array(digests, pa.string()),
-                "_kept": pa.array(kept, pa.string())}
-        docs = docs.drop_columns(["_bucket", "_copy", "text"])
-        for name, values in more.items():
-            docs = docs.append_column(name, values)
-        return docs
+        longs = {"n_bytes": [len(t) for t in texts], "n_removed": removed, "n_spans": runs}
+        return pa.table({"rest": docs.column("rest"), **{k: pa.array(v, pa.int64()) for k, v in longs.items()},
+                         "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(kept, pa.string())})
 
     return run
 
 
 def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
-    """All columns of ``docs`` but the text, and ``_bytes``, ``_removed``,
-    ``_spans``, ``_sha256`` of what is left; with ``characters`` also the text
-    that is left as ``_kept``, where characters are removed whole or not at all.
+    """(rest, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row:
+    ``rest`` holds the columns of ``docs`` but the text; ``kept_text`` is null
+    unless ``characters``, where characters are removed whole or not at all.
     """
     n = buckets_of(docs)
-    keyed = docs.withColumns({"_copy": F.xxhash64(F.coalesce("text", F.lit(""))),
-                              "_bucket": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")})
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("rest"), "doc_id", "text",
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_copy"),
+                        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("_bucket"))
     parsed = keyed.select("doc_id", "_copy", "_bucket", "text").mapInArrow(_parsed(n), PACKED)
     settled = saved(parsed.groupBy("kind", "key").applyInArrow(_compared, PACKED))
     grouped = keyed.repartition(n, "_bucket")
@@ -393,22 +392,22 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     cut = grouped.groupBy("_bucket").cogroup(left.groupBy("key")).applyInArrow(_cut(n), PACKED)
     found = cut.groupBy("key").applyInArrow(_sorted_windows, PACKED)
     spans = settled.where(F.col("kind") == SPANS).unionByName(found)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    fields += ", _bytes long, _removed long, _spans long, _sha256 string, _kept string"
+    fields = T.StructType([T.StructField("rest", keyed.schema["rest"].dataType),
+                           *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
+                           *(T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept_text"))])
     return grouped.groupBy("_bucket").cogroup(spans.groupBy("key")).applyInArrow(_applied(characters), fields)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    out = without_repeats(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"),
-                      F.col("_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+    return without_repeats(docs.select("doc_id", "text")).select(
+        "rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of the texts, and ``n_chars`` to fit."""
     out = without_repeats(docs, characters=True)
-    cols = [F.col("_kept").alias("text") if c == "text" else
-            F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns]
+    cols = [F.col("kept_text").alias(c) if c == "text" else
+            F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+            F.col("rest").getField(c).alias(c) for c in docs.columns]
     return out.select(*cols)

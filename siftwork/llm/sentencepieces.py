@@ -40,6 +40,11 @@ LONG, LONGER = 64, 512
 _NONE = (float("inf"), 0)
 
 
+#: Ids as text and as numbers, what they decode to inside a text, and how many
+#: bytes of the original each covers.
+Segment = tuple[str, tuple[int, ...], str, tuple[int, ...]]
+
+
 class CharMap:
     """The compiled character map: a double-array trie over UTF-8 bytes, whose
     values are places in a block of NUL-ended replacements."""
@@ -103,8 +108,8 @@ class PieceCodec:
         self.segment = re.compile("(?s).+" if inner else
                                   f"{MARK}*[^{MARK}]+|{MARK}+" if breaks else
                                   f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-        self.kept: dict[str, tuple[str, tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[str, tuple[int, ...], str]] = {}
+        self.kept: dict[str, Segment] = {}
+        self.older: dict[str, Segment] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each byte of it (and its end) the byte
@@ -128,10 +133,11 @@ class PieceCodec:
             n, new = self._step(raw, at)
             if blank:
                 new = new.lstrip(b" ")
-            for byte in new:
+            own = new == raw[at:at + n]  # bytes that stay are their own source
+            for k, byte in enumerate(new):
                 add = space if byte == 0x20 else bytes((byte,))
                 out += add
-                source += [at] * len(add)
+                source += [at + k * own] * len(add)
             if new:
                 blank = self.tidy and new.endswith(b" ")
             at += n
@@ -223,8 +229,7 @@ class PieceCodec:
                 if piece in self.rank or not self.fallback:
                     out.append((self.ids_of([piece])[0], source[at], source[at + n]))
                 else:
-                    out.extend((self.byte_ids[b], source[at + k], max(source[at + k + 1], source[at + k] + 1)
-                                if k + 1 < n and source[at + k + 1] == source[at + k] else source[at + k + 1])
+                    out.extend((self.byte_ids[b], source[at + k], source[at + k + 1])
                                for k, b in enumerate(piece.encode("utf-8", "replace")))
                 at += n
         return out
@@ -250,8 +255,7 @@ class PieceCodec:
             parts.append(_read(bytes(run)))
         return "".join(parts)
 
-    def _segment(self, segment: str) -> tuple[str, tuple[int, ...], str]:
-        """Ids as text and as numbers, and what they decode to inside a text."""
+    def _segment(self, segment: str) -> Segment:
         entry = self.older.get(segment)
         if entry is None:
             pieces = self.merge(segment)
@@ -261,29 +265,53 @@ class PieceCodec:
                 shown = shown.replace(MARK, " ")
             else:
                 shown = self.decode([self.byte_ids[0], *ids])[1:] if self.fallback else self.decode(ids)
-            entry = (",".join(map(str, ids)), tuple(ids), shown)
+            entry = (",".join(map(str, ids)), tuple(ids), shown, tuple(self._widths(pieces)))
         if len(segment) <= LONG:
             if len(self.kept) >= KEPT:  # what was used lately stays one round longer
                 self.older, self.kept = self.kept, {}
             self.kept[segment] = entry
         return entry
 
-    def coded(self, text: str | None) -> tuple[list[tuple[int, ...]], str, str]:
-        """Ids by segment, all ids as text, and the text that they decode to."""
+    def _widths(self, pieces: list[str]) -> list[int]:
+        """Bytes of the original under each id, where only blanks were replaced."""
+        out = []
+        for p in pieces:
+            n = len(p.encode("utf-8", "replace"))
+            if p in self.rank or not self.fallback:
+                out.append(n - 2 * p.count(MARK) if self.escape else n)
+            else:
+                out += [1] * n
+        return out
+
+    def ends(self, text: str | None, widths: list[tuple[int, ...]]) -> np.ndarray:
+        """Where each piece ends in the bytes of the original text: projected by
+        the widths where nothing but blanks was replaced, else by the notes that
+        normalisation takes."""
+        text = text or ""
+        if self.map.units or self.tidy or MARK in text or (self.escape and not self.dummy):
+            return np.array([e for _, _, e in self.encode_spans(text)], np.int32)
+        out = np.cumsum(np.fromiter(chain.from_iterable(widths), np.int32), dtype=np.int32)
+        return out - 1 if self.dummy else out
+
+    def coded(self, text: str | None) -> tuple[list[tuple[int, ...]], str, str, list[tuple[int, ...]]]:
+        """Ids by segment, all ids as text, the text that they decode to, and the
+        widths by segment."""
         get, new = self.kept.get, self._segment
         found = [get(s) or new(s) for s in self.segment.findall(self._quick(text or ""))]
         if not found:
-            return [], "", ""
-        names, ids, shown = zip(*found, strict=True)
+            return [], "", "", []
+        names, ids, shown, widths = zip(*found, strict=True)
         joined = "".join(shown)
         if (self.dummy or self.tidy) and joined.startswith(" "):
             joined = joined[1:]
-        return list(ids), ",".join(names), joined
+        return list(ids), ",".join(names), joined, list(widths)
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
-        ids, names, shown = self.coded(text)
-        return sum(map(len, ids)), _sha(names), _sha(shown)
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, and SHA-256 of the ids, of the decoded text and of the
+        byte positions where pieces end (32-bit little-endian)."""
+        ids, names, shown, widths = self.coded(text)
+        ends = self.ends(text, widths).astype("<i4").tobytes()
+        return sum(map(len, ids)), _sha(names), _sha(shown), hashlib.sha256(ends).hexdigest()
 
 
 def _read(run: bytes) -> str:
@@ -305,37 +333,36 @@ def codec(path: str) -> PieceCodec:
 
 
 def piece_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ends_sha256) for every row."""
     path = tokenizer_file(model)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
         of = codec(path).digests
-        return pd.DataFrame([of(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame([of(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
 
     return docs.select("doc_id", digest("text").alias("d")).select(
-        "doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+        "doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", "d.ends_sha256")
 
 
 def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``ids`` and ``decoded``, what the ids decode
-    to; with ``spans`` also ``begins`` and ``ends`` of every piece, in bytes of the
-    original text."""
+    to; with ``spans`` also ``ends``, where every piece ends in the bytes of the
+    original text (each begins where the one before ends)."""
     path = tokenizer_file(model)
-    kind = "ids array<int>, decoded string" + ", begins array<int>, ends array<int>" * spans
+    kind = "ids array<int>, decoded string" + ", ends array<int>" * spans
 
     @F.pandas_udf(kind)
     def encode(texts: pd.Series) -> pd.DataFrame:
         of = codec(path)
         coded = [of.coded(t) for t in texts]
-        out = {"ids": [np.fromiter(chain.from_iterable(ids), np.int32) for ids, _, _ in coded],
-               "decoded": [shown for _, _, shown in coded]}
+        out = {"ids": [np.fromiter(chain.from_iterable(c[0]), np.int32) for c in coded],
+               "decoded": [c[2] for c in coded]}
         if spans:
-            found = [of.encode_spans(t) for t in texts]
-            out |= {n: [[x[k] for x in f] for f in found] for k, n in ((1, "begins"), (2, "ends"))}
+            out["ends"] = [of.ends(t, c[3]) for t, c in zip(texts, coded, strict=True)]
         return pd.DataFrame(out)
 
-    taken = {"ids", "decoded", "_pieces"} | ({"begins", "ends"} if spans else set())
+    taken = {"ids", "decoded", "_pieces"} | ({"ends"} if spans else set())
     kept = [c for c in docs.columns if c.lower() not in taken]
     return docs.select(*kept, encode("text").alias("_pieces")).select(*kept, "_pieces.*")
 

@@ -132,6 +132,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) ->
     first = grouped.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["_copy"])
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64("text").alias("hash"))
+    same = rows["id"].eqNullSafe(kept["_id"]) & (rows["hash"] == kept["_copy"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
