@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from siftwork.corpus import AXES, Corpus
 from siftwork.operators.details import first_captions, sibling_means
 
-SORT_KEYS = tuple(f"{a}_{d}" for a in AXES for d in ("asc", "desc"))
+#: Each sort key with its SQL; rows that are not scored come last both ways.
+SORTED_BY = {f"{axis}_{way}": f"coalesce({sign}{axis}, 1e9)"
+             for axis in AXES for way, sign in (("asc", ""), ("desc", "-"))}
 
 
 def axis_order(sort: str | None) -> list[Column]:
-    """Sort columns for ``<axis>_asc|desc``; unscored last both ways.  An
-    unknown key means id order."""
-    if sort not in SORT_KEYS:
-        return [F.col("id")]
-    axis, direction = sort.rsplit("_", 1)
-    key = F.col(axis).asc_nulls_last() if direction == "asc" else F.col(axis).desc_nulls_last()
-    return [key, F.col("id")]
+    """Columns to sort by, ids last; an unknown key means id order."""
+    keys = [SORTED_BY[sort]] if sort in SORTED_BY else []
+    return [F.expr(k) for k in (*keys, "id")]
 
 
 def page(selected: DataFrame, number: int = 1, per_page: int = 60,
@@ -52,9 +50,9 @@ def album_order(selected: DataFrame, items: DataFrame, album: int) -> DataFrame:
 
 def rerank_by_axis(ranking: DataFrame, samples: DataFrame, sort: str) -> DataFrame:
     """Retrieved rows re-ordered by an axis; scores stay those of retrieval."""
-    if sort not in SORT_KEYS:
+    if sort not in SORTED_BY:
         return ranking
-    axis = sort.rsplit("_", 1)[0]
+    axis = sort[:sort.rindex("_")]
     joined = ranking.join(samples.select("id", axis), "id")
     order = Window.partitionBy("query_id").orderBy(*axis_order(sort))
     return joined.withColumn("rank", F.row_number().over(order))

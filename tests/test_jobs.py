@@ -155,12 +155,26 @@ def test_scenarios_name_what_sets_groups_apart(spark):
     ranking = v.select(F.lit(1).cast("long").alias("query_id"), "id",
                        (F.col("id") + 1).cast("int").alias("rank"))
     got = scenarios.scenarios(ranking, v, att, vlm, caps).orderBy("first_id").collect()
-    assert [r.label for r in got] == [f"{w} — 10 images" for w in ("alone", "people", "water")]
-    assert got[0].evidence == "10/10 caption:alone — 100% here vs 33% across the results"
+    assert [r.label for r in got] == [f"{w} (10)" for w in ("alone", "people", "water")]
+    assert got[0].evidence == "caption:alone: 10 of 10 (100%), 33% of all results"
     assert sorted(i for r in got for i in r.members) == list(range(30))
     again = scenarios.scenarios(ranking, v, att, vlm, caps).orderBy("first_id").collect()
     assert got == again
-    assert scenarios.group_heads(ranking.where("rank < 8"), v).count() == 0
+    few = scenarios.scenarios(ranking.where("rank < 8"), v, att, vlm, caps).collect()
+    assert [(r.grp, r.label, r.size) for r in few] == [(None, "too few results (7)", 7)]
+
+
+def test_scenario_leads_are_not_shared(spark):
+    v, caps, att, vlm = scene_corpus(spark)
+    shared = caps.withColumn("text", F.when(F.col("id") < 20, F.concat("text", F.lit(" street"))).otherwise("dog"))
+    ranking = v.select(F.lit(1).cast("long").alias("query_id"), "id", (F.col("id") + 1).cast("int").alias("rank"))
+    got = {r.first_id: r for r in scenarios.scenarios(ranking, v, att, vlm, shared).collect()}
+    assert got[0].label == "alone, street (10)" and got[10].label == "people, street (10)"
+    assert got[20].label == "mixed (10)" and got[20].evidence.startswith("no trait reaches 50%")
+    only = shared.withColumn("text", F.when(F.col("id") < 20, F.lit("street dog")).otherwise("dog"))
+    got = {r.first_id: r for r in scenarios.scenarios(ranking, v, att, vlm, only).collect()}
+    assert got[0].label == "street (10)" and got[10].label == "mixed (10)"
+    assert got[10].evidence.startswith("all its traits lead other groups")
 
 
 # ---------------------------------------------------------------------- search, report
