@@ -26,10 +26,12 @@ their rows; with nothing to learn from every token has the uniform root estimate
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ FOLDS = 10
 _END, _BEGIN = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _KEPT = 400_000
 _ASKED = "shard int, bucket int, packed binary"
+_TEXTS = "bucket int, packed binary"
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
            "base_score double, score double")
 
@@ -154,13 +157,40 @@ def _small(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint64)
 
 
+def _pack(value: object) -> bytes:
+    """Counts and key differences leave little once they are entropy-coded, so
+    that the shuffle moves less than its own compression would."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(value, 5))
+
+
+def _unpack(packed: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each group in a batch as one packed row."""
+    for batch in batches:
+        rows: dict[int, list[tuple]] = {}
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in (
+                "bucket", "doc_id", "text", "held_out")), strict=True):
+            rows.setdefault(bucket, []).append(tuple(row))
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(rows), pa.int32()),
+                                          "packed": pa.array([_pack(r) for r in rows.values()], pa.binary())})
+
+
+def _documents(bundles: pa.Table) -> tuple[list, list, list]:
+    """doc_ids, texts and held-out marks of a group."""
+    rows = [r for p in bundles.column("packed").to_pylist() for r in _unpack(p)]
+    return tuple(map(list, zip(*rows, strict=True)))
+
+
 def _asking(shards: int):
     """A group's n-grams with their training counts, to every shard."""
 
-    def run(docs: pa.Table) -> pa.Table:
-        walk = Walk(docs.column("text").to_pylist())
-        learned = ~docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        counts = walk.counts(learned)
+    def run(bundles: pa.Table) -> pa.Table:
+        _, texts, held = _documents(bundles)
+        walk = Walk(texts)
+        counts = walk.counts(~np.array(held, bool))
         cuts = [_cuts(k, shards) for k in walk.keys]
         packed = []
         for s in range(shards):
@@ -168,17 +198,16 @@ def _asking(shards: int):
             for order, (keys, count, cut) in enumerate(zip(walk.keys, counts, cuts, strict=True)):
                 a, b = cut[s], cut[s + 1]
                 part.append((b - a, _narrow(keys[a:b], 8 if order else 0), _small(count[a:b])))
-            packed.append(pickle.dumps(part, 5))
-        bucket = docs.column("_bucket")[0].as_py()
-        return pa.table({"shard": pa.array(range(shards), pa.int32()),
-                         "bucket": pa.array([bucket] * shards, pa.int32()), "packed": pa.array(packed, pa.binary())})
+            packed.append(_pack(part))
+        return pa.table({"shard": pa.array(range(shards), pa.int32()), "bucket": pa.array(
+            [bundles.column("bucket")[0].as_py()] * shards, pa.int32()), "packed": pa.array(packed, pa.binary())})
 
     return run
 
 
 def _answering(asked: pa.Table) -> pa.Table:
     """Corpus counts for each group, in the order in which it asked."""
-    parts = [pickle.loads(x) for x in asked.column("packed").to_pylist()]
+    parts = [_unpack(x) for x in asked.column("packed").to_pylist()]
     answers: list[list] = [[] for _ in parts]
     tokens = kinds = 0
     for order in range(3):
@@ -193,21 +222,21 @@ def _answering(asked: pa.Table) -> pa.Table:
         for answer, a, b in zip(answers, ends - sizes, ends, strict=True):
             answer.append(_small(sums[which[a:b]]))
     return pa.table({"shard": asked.column("shard"), "bucket": asked.column("bucket"),
-                     "packed": pa.array([pickle.dumps((tokens, kinds, a), 5) for a in answers], pa.binary())})
+                     "packed": pa.array([_pack((tokens, kinds, a)) for a in answers], pa.binary())})
 
 
 def _scoring(strength: tuple[float, float]):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        walk = Walk(docs.column("text").to_pylist())
-        order = np.argsort(answers.column("shard").to_numpy())
+    def run(bundles: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts, held = _documents(bundles)
+        walk = Walk(texts)
         packed = answers.column("packed").to_pylist()
-        parts = [pickle.loads(packed[i]) for i in order]
+        parts = [_unpack(packed[i]) for i in np.argsort(answers.column("shard").to_numpy())]
         tokens, kinds = sum(p[0] for p in parts), sum(p[1] for p in parts)
         counts = [np.concatenate([p[2][o] for p in parts]).astype(np.int64) for o in range(3)]
         known, base, score = walk.scores(counts, tokens, kinds, strength)
-        n = docs.num_rows
+        n = len(ids)
         return pa.table({
-            "doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()),
             "n_tokens": pa.array(walk.lengths, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()),
             "score": pa.array(score, pa.float64())})
@@ -219,11 +248,11 @@ def lm_scores(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -> Data
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for
     every row: log10 probabilities under the additive root and under the model,
     learned from the rows that are not held out."""
-    groups = buckets_of(docs)
-    shards = max(1, groups // 4)
+    groups = shards = buckets_of(docs)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     keyed = docs.select("doc_id", "text", (fold == 0).alias("held_out"), F.pmod(
-        F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("_bucket")).repartition(groups, "_bucket")
-    asked = keyed.groupBy("_bucket").applyInArrow(_asking(shards), _ASKED)
+        F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("bucket"))
+    bundles = keyed.mapInArrow(_bundled, _TEXTS).repartition(groups, "bucket")
+    asked = bundles.groupBy("bucket").applyInArrow(_asking(shards), _ASKED)
     answers = asked.groupBy("shard").applyInArrow(_answering, _ASKED)
-    return keyed.groupBy("_bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scoring(strength), _SCORES)
+    return bundles.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scoring(strength), _SCORES)
