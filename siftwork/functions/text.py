@@ -120,3 +120,8 @@ def parse_id_entries(text: Column) -> Column:
 def is_id_entry(entry: Column) -> Column:
     """ASCII digits with an optional leading minus; all else is a file name."""
     return entry.rlike("^-?[0-9]+$")
+
+
+def seeded(seed: int, column: str = "id") -> Column:
+    """Order of a draw that every run and every engine repeats."""
+    return F.md5(F.concat_ws(":", F.lit(seed), column))

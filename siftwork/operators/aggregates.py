@@ -62,14 +62,20 @@ def caption_length_histogram(captions: DataFrame) -> DataFrame:
 
 
 def word_count_distribution(captions: DataFrame, top: int = 40) -> DataFrame:
-    """Captions per exact word count up to ``top``, with the mean over them."""
+    """Captions per exact word count; those over ``top`` share one open row, so
+    the counts add up.  ``mean_words`` is the mean up to ``top``, ``mean_all``
+    that of all captions."""
+    words = F.col("words")
     counted = captions.groupBy(tx.space_word_count(F.col("text"), trim=True).alias("words")).agg(
         F.count(F.lit(1)).alias("n"))
-    kept = counted.where(F.col("words") <= top)
-    everything = Window.partitionBy(F.lit(1))  # at most `top` rows
-    return kept.withColumn(
-        "mean_words",
-        F.sum(F.col("words") * F.col("n")).over(everything) / F.sum("n").over(everything))
+    classes = counted.groupBy(F.least(words, F.lit(top + 1)).cast("int").alias("words")).agg(
+        F.sum("n").alias("n"), F.sum(words * F.col("n")).alias("total"))
+    everything = Window.partitionBy(F.lit(1))  # top + 1 rows
+    some = words <= top
+    mean_words = F.sum(F.when(some, F.col("total"))).over(everything) / F.sum(F.when(some, F.col("n"))).over(everything)
+    mean_all = F.sum("total").over(everything) / F.sum("n").over(everything)
+    return classes.select("words", (words > top).alias("open"), "n", mean_words.alias("mean_words"),
+                          mean_all.alias("mean_all"))
 
 
 def top_words(captions: DataFrame, n: int = 30) -> DataFrame:

@@ -7,26 +7,20 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.vector import (
     dot, group_vector_sum, mean_pairwise_cosine, unit)
+from siftwork.operators.order_stats import positions
 
 # Fixed values of the album analysis.
 COMMON_SHARE = 0.6
 SPLIT_SHARE = 0.5
 TAG_SHARE = 0.5
-MEMBER_CAP = 2000
 OUTLIERS = 3
 OUTLIER_MIN_MEMBERS = 4
 
 
-def capped_members(items: DataFrame, cap: int = MEMBER_CAP) -> DataFrame:
-    """First ``cap`` members of each album in its order, with ``truncated``.
-
-    Only the pairwise form of the analysis needs this horizon; the sums used
-    below do not, so nothing here applies it by itself."""
+def ordered_members(items: DataFrame) -> DataFrame:
+    """All members of each album with their place in its order and its size."""
     totals = items.groupBy("album_id").agg(F.count(F.lit(1)).alias("members"))
-    order = Window.partitionBy("album_id").orderBy("position", "sample_id")
-    return (
-        items.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cap)
-        .join(totals, "album_id").withColumn("truncated", F.col("members") > cap))
+    return positions(items, ["album_id"], ["position", "sample_id"], "pos").join(totals, "album_id")
 
 
 def _facet_shares(items: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -210,10 +210,15 @@ def stale_views(views: DataFrame, current: DataFrame) -> DataFrame:
         "query", own).drop("_now")
 
 
-def valid_activity(events: DataFrame, client: bool = True) -> DataFrame:
-    """Events fit to append: a short JSON payload, and from a client only the
-    kinds a client can witness."""
-    ok = F.try_parse_json("payload").isNotNull() & (F.length("payload") <= MAX_PAYLOAD)
+def judged_activity(events: DataFrame, client: bool = True, longest: int = MAX_PAYLOAD) -> DataFrame:
+    """Events with ``refused``: why one is not fit to append, NULL if it is."""
+    why = F.when(F.try_parse_json("payload").isNull(), "payload is not JSON").when(
+        F.length("payload") > longest, f"payload over {longest} characters")
     if client:
-        ok = ok & F.col("kind").isin(*CLIENT_KINDS)
-    return events.where(ok)
+        why = why.when(~F.col("kind").isin(*CLIENT_KINDS), "kind is not a client's")
+    return events.withColumn("refused", why)
+
+
+def valid_activity(events: DataFrame, client: bool = True, longest: int = MAX_PAYLOAD) -> DataFrame:
+    """Events fit to append; :func:`judged_activity` also keeps the others."""
+    return judged_activity(events, client, longest).where(F.col("refused").isNull()).drop("refused")

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.corpus import AXES, Corpus
-
-# Captions per record part; a sample with more spans several parts.
-RECORD_PART = 1000
-ANNOTATION_CAP = 200
+from siftwork.session import reliable_checkpoint
 
 
 def first_captions(captions: DataFrame) -> DataFrame:
@@ -47,18 +44,29 @@ def sibling_means(captions: DataFrame, of: DataFrame | None = None) -> DataFrame
 
 
 def label_paths(spark: SparkSession, labels: DataFrame) -> DataFrame:
-    """``id, path``: names from the root down to each label."""
-    steps = spark.sql("""
-        WITH RECURSIVE up (leaf, name, parent_id, depth) AS (
-            SELECT id, name, parent_id, 0 FROM {labels}
-            UNION ALL
-            SELECT up.leaf, p.name, p.parent_id, up.depth + 1
-            FROM up JOIN {labels} p ON p.id = up.parent_id
-        ) SELECT leaf AS id, name, depth FROM up""",
-        labels=labels.select("id", "name", "parent_id"))
-    # A path is as long as the tree is deep.
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name")))
-    return steps.groupBy("id").agg(F.transform(ordered, lambda s: s["name"]).alias("path"))
+    """``id, path``: names from the root down to each label.
+
+    Paths double in length each round, so a tree takes as many rounds as its
+    depth has bits.  A label on a cycle, or below one, has a NULL path; a parent
+    that does not exist ends a path."""
+    known = labels.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
+    state = labels.select("id", "name", "parent_id").join(known, "parent_id", "left").select(
+        "id", F.when(F.col("known"), F.col("parent_id")).alias("above"),
+        F.array("id").alias("ids"), F.array("name").alias("path"))
+    while True:
+        state = reliable_checkpoint(state)
+        if state.where(F.col("above").isNotNull()).isEmpty():
+            return state.select("id", "path")
+        upper = state.select(F.col("id").alias("above"), F.col("above").alias("next"),
+                             F.col("ids").alias("ids_above"), F.col("path").alias("path_above"))
+        joined = state.join(upper, "above", "left")
+        going = F.col("above").isNotNull()
+        ids = F.when(going, F.concat("ids_above", "ids")).otherwise(F.col("ids"))
+        path = F.when(going, F.concat("path_above", "path")).otherwise(F.col("path"))
+        loops = F.size(F.array_distinct(ids)) < F.size(ids)
+        lost = loops | path.isNull()
+        state = joined.select("id", F.when(~lost, F.col("next")).alias("above"), ids.alias("ids"),
+                              F.when(~lost, path).alias("path"))
 
 
 def annotation_view(corpus: Corpus) -> DataFrame:
@@ -77,10 +85,9 @@ def annotation_view(corpus: Corpus) -> DataFrame:
         .withColumn("has_mask", F.coalesce("has_mask", F.lit(False))))
 
 
-def annotation_page(annotations: DataFrame, size: int = 20, offset: int = 0,
-                    cap: int = ANNOTATION_CAP) -> DataFrame:
+def annotation_page(annotations: DataFrame, size: int = 20, offset: int = 0) -> DataFrame:
     """One page per sample in id order, with total and next offset."""
-    size = max(1, min(size, cap))
+    size = max(1, size)
     order = Window.partitionBy("sample_id").orderBy("id")
     # Counted apart from the window, so the rank limit can cut early.
     totals = annotations.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"))
@@ -118,14 +125,11 @@ def hydrate(ranking: DataFrame, rows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- records
 
-def caption_lists(captions: DataFrame, part_rows: int = RECORD_PART) -> DataFrame:
-    """``id, part, captions``: texts by index, in parts of bounded length.
-
-    Nearly every sample is part 0 alone.  One that holds a large share of all
-    captions is split by index, so no task ever gathers it whole."""
-    part = F.floor(F.col("idx") / part_rows).cast("int")
+def caption_lists(captions: DataFrame) -> DataFrame:
+    """``id, captions``: all texts of a sample by index; a record holds its whole
+    sample, whatever its size."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "text")))
-    return captions.groupBy(F.col("sample_id").alias("id"), part.alias("part")).agg(
+    return captions.groupBy(F.col("sample_id").alias("id")).agg(
         F.transform(ordered, lambda s: s["text"]).alias("captions"))
 
 
@@ -166,7 +170,7 @@ def records(corpus: Corpus, selected: DataFrame | None = None, scores: bool = Tr
     out = (
         base.join(caption_lists(side("captions")), "id", "left")
         .join(tag_lists(side("sample_tags"), "tags"), "id", "left"))
-    cols = ["id", F.coalesce("part", F.lit(0)).alias("part"), "filename", "split",
+    cols = ["id", "filename", "split",
             F.coalesce("captions", none).alias("captions"), F.coalesce("tags", none).alias("tags")]
     if scores:
         mean = side("captions").groupBy(F.col("sample_id").alias("id")).agg(

@@ -68,10 +68,11 @@ class OrderStatistics:
 def order_statistics(
     measures: DataFrame, ranks: Ranks, key: str = "metric", value: str = "value"
 ) -> dict[str, OrderStatistics]:
-    """Values at 0-based ranks of each metric, NULLs left out.
+    """Values at 0-based ranks of each metric; NULL and NaN are not measured.
 
     ``ranks`` maps a row count to the ranks wanted; ``key`` has few values."""
-    rows = measures.select(key, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = measures.select(key, F.col(value).cast("double").alias("v")).where(
+        F.col("v").isNotNull() & ~F.isnan("v") & F.col(key).isNotNull())
     sizes = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.percentile_approx("v", _GRID, _ACCURACY).alias("q")).collect()
@@ -106,13 +107,17 @@ def _start(rank: int, n: int, lo: float, hi: float, q: list[float]) -> _Bracket:
 
 def _steps(per_metric: dict[str, list[float]], key: str, value: str, tests: tuple[str, ...]) -> Column:
     """How many of the tests ``value > e``, ``value >= e`` hold over the edges
-    of a row's metric: one integer column of plain comparisons."""
-    whens = []
+    of a row's metric: one integer column of plain comparisons.  Edges are
+    literals, so infinities are edges like any other."""
+    steps = F.lit(None).cast("int")
     for m, edges in per_metric.items():
-        passed = [f"CAST(`{value}` {t} {float(e)!r}D AS INT)" for e in edges for t in tests]
-        name = str(m).replace("\\", "\\\\").replace("'", "\\'")
-        whens.append(f"WHEN `{key}` = '{name}' THEN {' + '.join(passed) or '0'}")
-    return F.expr(f"CASE {' '.join(whens)} END") if whens else F.lit(None).cast("int")
+        passed = F.lit(0)
+        for e in edges:
+            for t in tests:
+                test = F.col(value) > F.lit(float(e)) if t == ">" else F.col(value) >= F.lit(float(e))
+                passed = passed + test.cast("int")
+        steps = F.when(F.col(key) == F.lit(m), passed).otherwise(steps)
+    return steps
 
 
 def _edges(state: dict[str, list[_Bracket]]) -> dict[str, list[float]]:
@@ -219,8 +224,10 @@ def bucket_cuts(measures: DataFrame, key: str = "metric", value: str = "value")
 
 
 def apply_cuts(cuts: dict[str, list[float]], key: str = "metric", value: str = "value") -> Column:
-    """Bucket column from fitted cuts; NULL where the value is."""
-    return F.when(F.col(value).isNotNull(), _steps(cuts, key, value, (">",)))
+    """Bucket column from fitted cuts; NULL where the value is NULL or NaN, and
+    where the metric has no name."""
+    number = F.col(value).cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), _steps(cuts, key, value, (">",)))
 
 
 def percentile_buckets(
@@ -228,7 +235,7 @@ def percentile_buckets(
 ) -> DataFrame:
     """``measures`` with ``bucket``: the 0-10 percentile rank inside ``key``.
 
-    NULL values keep a NULL bucket.  Negate the value to invert a measure.
+    NULL and NaN values keep a NULL bucket.  Negate the value to invert a measure.
     """
     return measures.withColumn("bucket", apply_cuts(bucket_cuts(measures, key, value), key, value))
 

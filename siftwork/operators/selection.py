@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from siftwork.corpus import AXES, Corpus
 from siftwork.functions import text as tx
 
-# Fixed value: the longest id list one selection accepts.
-MAX_ID_LIST = 60_000
 
 
 @dataclass(frozen=True)
@@ -123,12 +121,6 @@ def id_entries(spark: SparkSession, text: str) -> DataFrame:
     return one.select(F.posexplode(tx.parse_id_entries(F.col("t"))).alias("pos", "entry"))
 
 
-def check_id_cap(entries: DataFrame, cap: int = MAX_ID_LIST) -> None:
-    """Refuse a list past the cap, reading one entry more than it."""
-    if entries.limit(cap + 1).count() > cap:
-        raise ValueError(f"more than {cap} entries in the id list")
-
-
 def resolve_ids(samples: DataFrame, ids: DataFrame | tuple[str, ...]) -> DataFrame:
     """Ids named by a list of ids and file names; unknown entries match nothing.
 

@@ -61,12 +61,15 @@ def length_hist(spark, sf):
 
 
 @query("word_count_dist", sql("""
-    SELECT words, n, round(sum(words * n) OVER () / sum(n) OVER (), 6) AS mean_words FROM (
-        SELECT CAST(length(trim(text)) - length(replace(trim(text), ' ', '')) + 1 AS INT) AS words,
-               count(*) AS n FROM line_captions GROUP BY 1) WHERE words <= 40""", "line_captions"))
+    SELECT CAST(least(words, 41) AS INT) AS words, words > 40 AS open, sum(n)::BIGINT AS n,
+           round(any_value(mean_words), 6) AS mean_words, round(any_value(mean_all), 6) AS mean_all
+    FROM (SELECT words, n, sum(words * n) FILTER (words <= 40) OVER () / sum(n) FILTER (words <= 40) OVER ()
+                     AS mean_words, sum(words * n) OVER () / sum(n) OVER () AS mean_all
+          FROM (SELECT length(trim(text)) - length(replace(trim(text), ' ', '')) + 1 AS words,
+                       count(*) AS n FROM line_captions GROUP BY 1)) GROUP BY 1, 2""", "line_captions"))
 def word_count_dist(spark, sf):
-    return ag.word_count_distribution(b.line_captions(spark, sf)).withColumn(
-        "mean_words", r6("mean_words"))
+    return ag.word_count_distribution(b.line_captions(spark, sf)).withColumns(
+        {"mean_words": r6("mean_words"), "mean_all": r6("mean_all")})
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -457,7 +460,7 @@ RECORD = """
 
 
 @query("export_record", sql(RECORD + """
-    SELECT id, 0 AS part, filename, split, coalesce(captions, '') AS captions,
+    SELECT id, filename, split, coalesce(captions, '') AS captions,
            coalesce(tags, '') AS tags, legibility, rarity, difficulty, clutter, cluster, attributes
     FROM scored s LEFT JOIN cap ON cap.sample_id = id LEFT JOIN tag ON tag.sample_id = id
     LEFT JOIN att ON att.sample_id = id""",
@@ -472,14 +475,14 @@ def _flat_record(got, *more):
     facets = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws(
         ":", e["key"], e["value"])), " ")
     axes = [F.col("axes")[a].alias(a) for a in ("legibility", "rarity", "difficulty", "clutter")]
-    return got.select("id", "part", "filename", "split",
+    return got.select("id", "filename", "split",
                       F.array_join("captions", " | ").alias("captions"),
                       F.array_join("tags", " ").alias("tags"), *axes, *more,
                       facets.alias("attributes"))
 
 
 @query("sample_detail", sql(RECORD + """
-    SELECT id, 0 AS part, filename, split, coalesce(captions, '') AS captions,
+    SELECT id, filename, split, coalesce(captions, '') AS captions,
            coalesce(tags, '') AS tags, legibility, rarity, difficulty, clutter,
            coalesce(vlm_tags, '') AS vlm_tags, attributes
     FROM scored s LEFT JOIN cap ON cap.sample_id = id LEFT JOIN tag ON tag.sample_id = id
@@ -659,3 +662,20 @@ def percentile_bucket(spark, sf):
     rows = b.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", F.lit("price").alias("metric"))
     return percentile_buckets(rows, value="l_extendedprice").drop("metric")
+
+
+@query("percentile_bucket_extreme", """
+    WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CASE l_linenumber
+        WHEN 3 THEN 'inf'::DOUBLE WHEN 4 THEN '-inf'::DOUBLE WHEN 5 THEN NULL ELSE l_extendedprice END AS value
+        FROM lineitem),
+    r AS (SELECT *, percent_rank() OVER (PARTITION BY value IS NULL ORDER BY value) AS p FROM v)
+    SELECT l_orderkey, l_linenumber, l_extendedprice,
+           CASE WHEN value IS NOT NULL THEN CAST(round_even(p * 10, 0) AS INT) END AS bucket FROM r""")
+def percentile_bucket_extreme(spark, sf):
+    """Infinite, missing and NaN values among the measured ones."""
+    line = F.col("l_linenumber")
+    value = F.when(line == 3, F.lit(float("inf"))).when(line == 4, F.lit(float("-inf"))).when(
+        line == 5, F.when(F.col("l_orderkey") % 2 == 0, F.lit(float("nan")))).otherwise(F.col("l_extendedprice"))
+    rows = b.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", value.alias("value"), F.lit("it's").alias("metric"))
+    return percentile_buckets(rows).drop("metric", "value")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwork.functions import encoders
 from siftwork.functions import geometry as geo
-from siftwork.functions import images
 from siftwork.operators import aggregates as ag
 from siftwork.operators import curation as cu
 from siftwork.operators import details
@@ -347,7 +345,7 @@ def work_queue(spark, sf):
 
 @query("parsed_tags", _join("""
     , t AS (SELECT doc_id AS sample_id, list_filter(list_transform(string_split(text, ' '),
-                lambda w: lower(trim(w))), lambda w: w <> '')[1:10] AS tags FROM documents)
+                lambda w: lower(trim(w))), lambda w: w <> '') AS tags FROM documents)
     SELECT DISTINCT sample_id, unnest(tags) AS tag FROM t
     EXCEPT SELECT sample_id, tag FROM vlm_tags""", "vlm_tags"))
 def parsed_tags(spark, sf):
@@ -437,35 +435,3 @@ def clean_detections(spark, sf):
         (F.col("l_tax") * 10).alias("score"), F.lit(30).alias("width"), F.lit(20).alias("height"))
     got = geo.clean_detections(boxes)
     return got.select("sample_id", "label", "score", *[r6(c).alias(c) for c in "xywh"])
-
-
-@query("hashed_text_vectors")
-def hashed_text_vectors(spark, sf):
-    """Document texts through the encoder seam, with the hashing encoder."""
-    docs = b.table(spark, sf, "documents")
-    vectors = encoders.encode_table(encoders.HashingEncoder, docs, F.col("text"), "doc_id")
-    return builds.contract(vectors).select("rows", "ids", "min_dim", "max_dim")
-
-
-def _rasters(spark, sf):
-    """Text bytes as 16-pixel-wide grey frames, whole texts, padded with zeros."""
-    docs = b.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    rows = F.ceil(F.octet_length("raw") / 16).cast("int")
-    padded = F.rpad(F.col("raw"), rows * 16, F.unhex(F.lit("00")))
-    return docs.select("doc_id", rows.alias("height"), padded.alias("data"))
-
-
-@query("image_measures")
-def image_measures(spark, sf):
-    frames = _rasters(spark, sf).select(
-        F.format_string("doc_%06d.txt", "doc_id").alias("filename"),
-        F.struct("height", F.lit(16).alias("width"), F.lit(1).alias("nChannels"), "data").alias("image"))
-    return images.image_measures(frames)
-
-
-@query("mask_statistics")
-def mask_statistics(spark, sf):
-    masks = _rasters(spark, sf).select(
-        F.col("doc_id").alias("annotation_id"), F.col("data").alias("raster"),
-        F.lit(16).alias("width"), "height")
-    return images.mask_statistics(masks)

@@ -266,7 +266,15 @@ def pixel_check(spark, sf):
                       r6("duplicate_frame_fraction").alias("duplicate_frame_fraction"))
 
 
-@query("null_distance")
+@query("null_distance", """
+    WITH h AS (SELECT doc_id AS id, md5(text) AS m FROM documents),
+    d AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || id), id) - 1 AS pos FROM h
+          QUALIFY pos < 400),
+    bits AS (SELECT pos // 2 AS p, pos % 2 AS side, CAST('0x' || m[1:16] AS UBIGINT) AS x FROM d),
+    pairs AS (SELECT bit_count(CAST(a.x AS HUGEINT) # CAST(b.x AS HUGEINT)) AS gap
+              FROM bits a JOIN bits b ON a.p = b.p AND a.side = 0 AND b.side = 1)
+    SELECT CAST(median(gap) AS DOUBLE) AS null_median FROM pairs""".replace(
+        "bit_count(CAST(a.x AS HUGEINT) # CAST(b.x AS HUGEINT))", "bit_count(xor(CAST(a.x AS HUGEINT), CAST(b.x AS HUGEINT)))"))
 def null_distance(spark, sf):
     hashes = b.table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"),
@@ -329,7 +337,11 @@ def adjusted_rank(spark, sf):
     return got.withColumn("score", r6("score"))
 
 
-@query("bank_captions")
+@query("bank_captions", _join("""
+    , usable AS (SELECT c.id, c.sample_id FROM line_captions c JOIN embeddings e ON e.vec_id = c.sample_id),
+    n AS (SELECT count(*) AS n, CASE WHEN count(*) >= 1000 THEN least(3000, count(*) // 4) ELSE 0 END AS take FROM usable)
+    SELECT id, sample_id FROM (SELECT u.*, row_number() OVER (ORDER BY md5('20260726:' || id), id) AS r FROM usable u)
+    WHERE r <= (SELECT take FROM n)""", "line_captions"))
 def bank_captions(spark, sf):
     return hubness.bank_captions(b.line_captions(spark, sf), b.vectors(spark, sf))
 
@@ -425,6 +437,32 @@ def by_vector(spark, sf):
     return composed.by_vector(asked, b.vectors(spark, sf), 10).withColumn("score", r6("score"))
 
 
+@query("scenario_traits", _join("""
+    , members AS (SELECT doc_id % 10 AS query_id, CAST(doc_id // 10 % 3 AS INT) AS grp, doc_id AS id FROM documents),
+    sizes AS (SELECT *, sum(size) OVER (PARTITION BY query_id) AS pool
+              FROM (SELECT query_id, grp, count(*) AS size FROM members GROUP BY query_id, grp)),
+    traits AS (SELECT sample_id, grp || ':' || label AS name, 0 AS source FROM attributes
+               UNION SELECT sample_id, 'vlm:' || tag, 1 FROM vlm_tags),
+    inside AS (SELECT query_id, m.grp, name, source, count(*) AS n_in
+               FROM members m JOIN traits t ON t.sample_id = m.id GROUP BY ALL),
+    rates AS (SELECT *, n_in / size AS p_in, sum(n_in) OVER (PARTITION BY query_id, name) / pool AS p_bg
+              FROM inside JOIN sizes USING (query_id, grp))
+    SELECT query_id, grp, name, source, n_in, round(p_in, 6) AS p_in, round(p_bg, 6) AS p_bg,
+           round(p_in / p_bg, 6) AS lift, round(p_in / p_bg / pow(1.05, source), 6) AS strength
+    FROM rates WHERE p_in >= 0.02 AND p_in / p_bg >= 1.02""", "attributes", "vlm_tags"))
+def scenario_traits(spark, sf):
+    """Traits of given groups, by thresholds low enough for many to pass."""
+    c = b.docs(spark, sf)
+    members = b.table(spark, sf, "documents").select(
+        (F.col("doc_id") % 10).alias("query_id"), F.floor(F.col("doc_id") / 10).alias("tens"),
+        F.col("doc_id").alias("id")).select("query_id", (F.col("tens") % 3).cast("int").alias("grp"), "id")
+    none = b.table(spark, sf, "documents").where("false").select(F.col("doc_id").alias("sample_id"), "text")
+    got = sc.distinctive_traits(members, c.attributes, c.vlm_tags, none,
+                                sc.Grouping(share=0.02, lift=1.02, margin=1.05))
+    return got.select("query_id", "grp", "name", "source", "n_in", *[
+        r6(x).alias(x) for x in ("p_in", "p_bg", "lift", "strength")])
+
+
 @query("scenarios")
 def scenarios(spark, sf):
     c = b.docs(spark, sf)
@@ -513,13 +551,12 @@ def outliers(spark, sf):
             FROM lineitem GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY position, sample_id) AS pos,
                  count(*) OVER (PARTITION BY name) AS members FROM t)
-    SELECT name AS album_id, sample_id, CAST(pos AS INT) AS pos, members, members > 2000 AS truncated
-    FROM r WHERE pos <= 2000""", "items"))
+    SELECT name AS album_id, sample_id, pos - 1 AS pos, members FROM r""", "items"))
 def album_members(spark, sf):
     items = b.table(spark, sf, "lineitem").groupBy(
         F.concat(F.lit("all"), "l_returnflag").alias("album_id"),
         F.col("l_partkey").alias("sample_id")).agg(F.min("l_orderkey").alias("position"))
-    return albums.capped_members(items).select("album_id", "sample_id", "pos", "members", "truncated")
+    return albums.ordered_members(items).select("album_id", "sample_id", "pos", "members")
 
 
 # ------------------------------------------------------------------------- describe
@@ -614,7 +651,9 @@ EVAL = """
 def _eval_queries(spark, sf):
     """Each vector asks for the first other vector of its label."""
     v = b.table(spark, sf, "embeddings")
-    firsts = v.groupBy("label").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, 2).alias("two"))
+    first = v.groupBy("label").agg(F.min("vec_id").alias("one"))
+    second = v.join(first, "label").where("vec_id > one").groupBy("label").agg(F.min("vec_id").alias("other"))
+    firsts = first.join(second, "label", "left").select("label", F.array("one", "other").alias("two"))
     return v.join(firsts, "label").select(
         F.col("vec_id").alias("query_id"), "embedding",
         F.when(F.col("two")[0] == F.col("vec_id"), F.get("two", F.lit(1))).otherwise(
@@ -658,7 +697,10 @@ def overlap_at_k(spark, sf):
                       r6("identical_share").alias("identical_share"))
 
 
-@query("sample_queries")
+@query("sample_queries", _join("""
+    SELECT id, sample_id FROM (
+        SELECT t.id, t.sample_id, row_number() OVER (ORDER BY md5('42:' || t.id), t.id) AS r
+        FROM captions t JOIN embeddings e ON e.vec_id = t.sample_id) WHERE r <= 1000""", "captions"))
 def sample_queries(spark, sf):
     caps = b.turns(spark, sf)
     return ev.sample_queries(caps, caps.select("id"), b.vectors(spark, sf)).select("id", "sample_id")

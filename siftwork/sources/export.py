@@ -37,7 +37,7 @@ def flat(records: DataFrame, scores: bool = True) -> DataFrame:
     if scores:
         cols += [F.col("axes")[a].alias(a) for a in AXES]
         cols += ["cluster", "caption_consistency", "mean_agreement"]
-    return records.orderBy("id", "part").select(*cols)
+    return records.orderBy("id").select(*cols)
 
 
 def write_export(records: DataFrame, manifest_row: DataFrame, path: str, fmt: str) -> None:
@@ -61,9 +61,9 @@ def jsonl_lines(records: DataFrame, manifest_row: DataFrame) -> DataFrame:
     """The single-stream form: a manifest line, then one line per record."""
     m = F.struct(*[F.col(c) for c in manifest_row.columns if c != "count"])
     head = manifest_row.select(
-        F.lit(0).alias("part"), F.lit(None).cast("long").alias("id"),
+        F.lit(0).alias("line"), F.lit(None).cast("long").alias("id"),
         F.to_json(F.struct(m.alias("_manifest"), F.col("count"))).alias("value"))
     body = records.select(
-        F.lit(1).alias("part"), "id",
-        F.to_json(F.struct(*[F.col(c) for c in records.columns if c != "part"])).alias("value"))
-    return head.union(body).orderBy("part", F.col("id").asc_nulls_first()).select("value")
+        F.lit(1).alias("line"), "id",
+        F.to_json(F.struct(*[F.col(c) for c in records.columns])).alias("value"))
+    return head.union(body).orderBy("line", F.col("id").asc_nulls_first()).select("value")

@@ -74,30 +74,29 @@ def dataset_sections(corpus: Corpus, benchmark: DataFrame | None = None) -> list
         return ag.capped(df.select("label", "value"), limit)
 
     by_value = [F.col("value").desc(), F.col("label")]
-    sections = [Section("Scale and readiness", "What is in the dataset and what was computed.", [
-        Block("Dataset at a glance", "counts over samples, captions, tags", ag.overview(corpus))])]
-    groups = [r["grp"] for r in corpus.table("attributes").select("grp").distinct().orderBy(
-        "grp").limit(ag.MAX_POINTS).collect()]
-    composition = [Block("Samples per split", "count of samples by split",
+    sections = [Section("Size", "Rows of each table and how many carry computed signals.", [
+        Block("Rows", "counts over samples, captions, tags", ag.overview(corpus))])]
+    groups = [r["grp"] for r in corpus.table("attributes").select("grp").distinct().orderBy("grp").collect()]
+    composition = [Block("Splits", "count of samples by split",
                          points(distribution(corpus, "split"), ag.MAX_PIE_POINTS), by_value)]
-    composition += [Block(f"Attribute coverage: {g}", f"count of attributes in {g}",
+    composition += [Block(f"Facet {g}", f"count of attributes in {g}",
                           points(distribution(corpus, g)), by_value) for g in groups]
-    composition.append(Block("Image dimensions", "count of samples by width and height",
+    composition.append(Block("Dimensions", "count of samples by width and height",
                              points(distribution(corpus, "image_size")), by_value))
-    sections.append(Section("Composition", "How the corpus divides by split and facet.", composition))
+    sections.append(Section("Shares", "Rows by split, facet and dimension.", composition))
     suspects = listing.suspect_captions(corpus, 10).select("sample_id", "agreement", "text")
-    sections.append(Section("Annotation quality", "Where the annotation errors are likely.", [
+    sections.append(Section("Captions", "Length, agreement, and the captions that their siblings support least.", [
         Block("Caption length", "words per caption",
               ag.word_count_distribution(corpus.table("captions")), [F.col("words")]),
         Block("Agreement", "captions per bin over the observed range",
               ag.agreement_histogram(corpus.table("captions")), [F.col("bin")]),
         Block("Least supported captions", "captions by ascending agreement", suspects,
               [F.col("agreement"), F.col("sample_id")])]))
-    sections.append(Section("Difficulty profile", "The hard tail of each axis.", [
-        Block("Hard tail", "samples scoring 8 or more", ag.hard_tail(corpus.samples), [F.col("axis")])]))
+    sections.append(Section("Axes", "Samples at the hard end of each axis.", [
+        Block("Scores of 8 and more", "samples scoring 8 or more", ag.hard_tail(corpus.samples), [F.col("axis")])]))
     if benchmark is not None:
-        sections.append(Section("Retrieval accuracy", "Each query leaves out its own caption.", [
-            Block("Benchmark detail", "caption to sample retrieval", benchmark, [F.col("mode")])]))
+        sections.append(Section("Search", "Captions as queries, without themselves.", [
+            Block("Ranks by mode", "caption to sample retrieval", benchmark, [F.col("mode")])]))
     return sections
 
 
@@ -144,6 +143,8 @@ def render(title: str, sections: list[Section]) -> tuple[str, str]:
 def write_report(spark: SparkSession, path: str, title: str, sections: list[Section]) -> None:
     """Write both forms through Spark, so any file system of the cluster works."""
     markdown, as_json = render(title, sections)
+    for i, block in enumerate(b for s in sections for b in s.blocks):  # whole tables beside the shown rows
+        block.rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/tables/{i:03d}")
     for name, body in (("markdown", markdown), ("json", as_json)):
         spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode(
             "overwrite").text(f"{path.rstrip('/')}/{name}")

@@ -73,14 +73,12 @@ def work_queue(samples: DataFrame, vlm_tags: DataFrame, limit: int | None = None
     return todo if limit is None else todo.orderBy("id").limit(limit)
 
 
-MAX_TAGS = 10
-
-
-def parsed_tags(answers: DataFrame, existing: DataFrame) -> DataFrame:
+def parsed_tags(answers: DataFrame, existing: DataFrame, limit: int | None = None) -> DataFrame:
     """``sample_id, tag`` from model answers ``(sample_id, answer)`` holding
-    ``{"tags": [...]}``; the first ten usable tags, none already stored."""
+    ``{"tags": [...]}``, none already stored; the first ``limit`` of an answer if
+    there is a limit, all otherwise."""
     tags = F.from_json("answer", "struct<tags: array<string>>")["tags"]
     clean = F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))),
                      lambda t: F.coalesce(t != "", F.lit(False)))
-    rows = answers.select("sample_id", F.explode(F.slice(clean, 1, MAX_TAGS)).alias("tag"))
+    rows = answers.select("sample_id", F.explode(clean if limit is None else F.slice(clean, 1, limit)).alias("tag"))
     return rows.dropDuplicates().join(existing, ["sample_id", "tag"], "left_anti")

@@ -69,8 +69,6 @@ def test_id_lists(spark, smoke):
     assert chosen(smoke, ids=many) == [1, 2, 3, 4]
     assert sel.ids_resolved(smoke.samples, ("1", "1", "nope")).first().ids_resolved == 1
     assert [r.entry for r in sel.id_entries(spark, "b, a\nb").orderBy("pos").collect()] == ["b", "a"]
-    with pytest.raises(ValueError):
-        sel.check_id_cap(many, 10)
 
 
 def test_unscored_sorts_last_both_ways(smoke):
@@ -95,7 +93,9 @@ def test_records_export_and_reimport(spark, smoke, tmp_path):
     assert got[1].captions == ["a dog", "two dogs"] and got[1].tags == ["t"]
     assert got[2].captions == ["a cat", "later"] and got[4].captions == [] and got[4].axes == {}
     assert got[1].axes["rarity"] == 8 and got[1].attributes["time"] == "night"
-    assert details.caption_lists(smoke.captions, part_rows=1).count() == 4
+    many = spark.range(1500).selectExpr("7 AS sample_id", "cast(id * 900 AS int) AS idx", "concat('c', id) AS text")
+    whole = details.caption_lists(many).collect()
+    assert len(whole) == 1 and whole[0].captions == [f"c{i}" for i in range(1500)]
     line = export.manifest(spark, "split=train", "m", smoke.samples.agg(F.count("id")).scalar(),
                            builds.fingerprint(smoke.samples.select("id")).select("fingerprint").scalar(),
                            F.lit(2))
@@ -284,3 +284,19 @@ def test_label_resolution(spark):
     assert {r.id for r in got["resolved"].collect()} == {2}
     assert {(r.name, r.parent) for r in got["conflicts"].collect()} == {("dog", "vehicle"), ("x", "x")}
     assert [(r.name, r.parent) for r in got["new"].collect()] == [("cat", "animal")]
+
+
+def test_label_paths_end_at_cycles_and_lost_parents(spark):
+    rows = [(1, "a", None), (2, "b", 1), (3, "c", 2), (4, "lost", 99), (5, "x", 6), (6, "y", 5), (7, "z", 6), (8, "own", 8)]
+    rows += [(100 + i, f"n{i}", 100 + i - 1 if i else 3) for i in range(40)]
+    labels = spark.createDataFrame(rows, "id long, name string, parent_id long")
+    got = {r.id: r.path for r in details.label_paths(spark, labels).collect()}
+    assert got[3] == ["a", "b", "c"] and got[4] == ["lost"] and len(got[139]) == 43
+    assert [got[i] for i in (5, 6, 7, 8)] == [None] * 4
+
+
+def test_refused_events_keep_their_reason(spark):
+    from siftwork.operators import curation
+    rows = [("search_snapshot", "{}"), ("other", "{}"), ("image_search", "no"), ("image_search", '"' + "x" * 50 + '"')]
+    got = curation.judged_activity(spark.createDataFrame(rows, "kind string, payload string"), longest=20).collect()
+    assert [r.refused is None for r in got] == [True, False, False, False]
