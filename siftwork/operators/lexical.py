@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
+from siftwork.functions.porter import stem_column
 from siftwork.functions.porter import stemmed as stem_tokens
 from siftwork.session import reliable_checkpoint, spread
 
@@ -21,9 +22,11 @@ B = 0.75
 IDF_FLOOR = 1e-6
 COMMON_FRACTION = 0.20
 
-# Query phrases are broadcast to the captions up to this many (some ten MB);
-# beyond, both sides are shuffled by token.
-HELD_PHRASES = 200_000
+# Query tokens are broadcast to the captions up to this many bytes; beyond, both
+# sides are shuffled by token.
+HELD_BYTES = 32 << 20
+# What a broadcast row takes beside its strings.
+_ROW_BYTES = 64
 
 
 def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -45,6 +48,17 @@ def query_phrases(queries: DataFrame, stem: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("times"))
 
 
+def surface_forms(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with each stem replaced by the corpus words that have it.
+
+    Only distinct words are shuffled and stemmed, and only those asked for stay,
+    so the postings are filtered by surface form, before any of them moves."""
+    vocabulary = tokens.select(F.explode("tokens").alias("form")).distinct()
+    forms = vocabulary.withColumn("token", stem_column("form")).join(
+        wanted.select("token").distinct(), "token")
+    return wanted.join(forms, "token").select("phrase", "width", "off", F.col("form").alias("token"))
+
+
 def phrase_hits(captions: DataFrame, phrases: DataFrame, stem: bool = False) -> DataFrame:
     """``phrase, caption_id, sample_id, length, tf`` for each distinct phrase.
 
@@ -59,12 +73,13 @@ def phrase_hits(captions: DataFrame, phrases: DataFrame, stem: bool = False) ->
     tokens = spread(captions.select("id", "sample_id", "text")).select(
         F.col("id").alias("caption_id"), "sample_id",
         tx.index_tokens(F.col("text")).alias("tokens"))
+    if stem:
+        wanted = reliable_checkpoint(surface_forms(tokens, wanted))
     postings = tokens.select(
         "caption_id", "sample_id", F.size("tokens").alias("length"),
         F.posexplode("tokens").alias("pos", "token"))
-    if stem:
-        postings = stem_tokens(postings)
-    if distinct.limit(HELD_PHRASES + 1).count() <= HELD_PHRASES:
+    held = wanted.agg(F.sum(F.octet_length("phrase") + F.octet_length("token") + _ROW_BYTES)).first()[0] or 0
+    if held <= HELD_BYTES:
         wanted = F.broadcast(wanted)
     # A one-token phrase needs no start: its rows are its occurrences.
     start = F.when(F.col("width") > 1, F.col("pos") - F.col("off")).otherwise(F.lit(-1))

@@ -19,6 +19,10 @@ DEFAULTS = {
 }
 
 
+#: Intermediate tables by application, for release().
+_written: dict[str, list[str]] = {}
+
+
 def get_session(app: str = "siftwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs were planned for.
 
@@ -87,11 +91,22 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     The result has no lineage behind it and survives the loss of executors.
     It is a Parquet table, so later steps read only the columns they use and
     plan with its real size."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/tables/{name}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session, through Spark's own file
+    system so that any shared folder works.  Call it when the results are written."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/tables"
+    for name in _written.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before a compute-heavy step, when the input is too
     small to be split that far by itself.

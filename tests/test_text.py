@@ -112,3 +112,29 @@ def test_pages_partition_the_ranking(spark):
     assert sorted(seen) == list(range(300)) and len(set(seen)) == 300
     assert all(r.has_more for r in pages[3]) and not any(r.has_more for r in pages[4])
     assert all(r.depth_reached for r in pages[4])
+
+
+def test_stemming_filters_postings_before_they_move(spark):
+    caps = spark.createDataFrame([(1, 1, "runs running runner"), (2, 2, "a run in the park"), (3, 3, "parked cars")],
+                                 "id long, sample_id long, text string")
+    asked = spark.createDataFrame([(1, "running"), (2, "parks cars")], "query_id long, text string")
+    phrases = lexical.query_phrases(asked, stem=True)
+    hits = lexical.phrase_hits(caps, phrases, stem=True)
+    got = {(r.phrase, r.caption_id): r.tf for r in hits.collect()}
+    assert got == {("run", 1): 2, ("run", 2): 1, ("park", 2): 1, ("park", 3): 1, ("car", 3): 1}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.index("Exchange hashpartitioning(caption_id") < plan.index("posexplode")
+    assert "stem_column" not in plan
+
+
+def test_release_empties_the_shared_folder(spark, tmp_path):
+    import os
+
+    from siftwork import session
+    saved = session.reliable_checkpoint(spark.range(3))
+    folder = session.checkpoint_folder(spark).removeprefix("file://") + "/tables"
+    assert saved.count() == 3 and os.listdir(folder)
+    kept = dict(session._written)
+    session._written[spark.sparkContext.applicationId] = kept[spark.sparkContext.applicationId][-1:]
+    session.release(spark)
+    assert kept[spark.sparkContext.applicationId][-1] not in os.listdir(folder)
