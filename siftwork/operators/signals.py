@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import dot, group_vector_sum, mean_pairwise_cosine
+from siftwork.operators import vector_blocks as vb
 from siftwork.operators.order_stats import interpolated_quantile
 from siftwork.operators.similarity import knn
 
@@ -13,6 +18,8 @@ from siftwork.operators.similarity import knn
 # group abstains.
 SOFTMAX_SCALE = 100.0
 MIN_MARGIN = 0.10
+# Rows of a prompt bank, at most.
+MAX_PROMPTS = 10_000
 
 # The prompt bank of the review facets.  Data, not code: a job
 # may pass another table of (grp, label, prompt).
@@ -62,33 +69,38 @@ def zero_shot(vectors: DataFrame, prompts: DataFrame, min_margin: float = MIN_MA
     """``id, grp, label, confidence, margin``: the winning label per facet
     group, absent where the runner-up is too close.
 
-    ``prompts`` is ``(grp, label, embedding)``, a bank of tens of rows that
-    every task holds; scoring it is the k-nearest-prompt join with k = all.
-    """
-    numbered = _numbered_prompts(prompts)
-    n_labels = numbered.count()
-    scores = knn(
-        numbered.select(F.col("prompt_id").alias("id"), "embedding"),
-        vectors.select(F.col("id").alias("query_id"), "embedding"), n_labels)
-    labelled = scores.join(numbered.drop("embedding"), F.col("id") == F.col("prompt_id"))
-    logits = labelled.select(
-        F.col("query_id").alias("id"), "grp", "label", (F.col("score") * scale).alias("logit"))
-    # One group per (sample, facet group): as many rows as the group has labels.
-    bunch = logits.groupBy("id", "grp").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("logit")).alias("neg"), "label"))).alias("o"))
-    peak = F.col("o")[0]["neg"]
-    mass = F.aggregate(F.col("o"), F.lit(0.0), lambda acc, x: acc + F.exp(peak - x["neg"]))
-    second = F.when(F.size("o") > 1, F.exp(peak - F.get("o", F.lit(1))["neg"]))
-    out = bunch.select(
-        "id", "grp", F.col("o")[0]["label"].alias("label"), (1.0 / mass).alias("confidence"),
-        F.when(F.size("o") > 1, (1.0 - second) / mass).otherwise(F.lit(1.0)).alias("margin"))
-    return out.where(F.col("margin") >= min_margin)
-
-
-def _numbered_prompts(prompts: DataFrame) -> DataFrame:
-    order = Window.partitionBy(F.lit(1)).orderBy("grp", "label")
-    return prompts.select("grp", "label", "embedding",
-                          F.row_number().over(order).cast("long").alias("prompt_id"))
+    ``prompts`` is ``(grp, label, embedding)``, a bank that every task holds: a
+    vector meets it inside its own batch, so nothing is exchanged.  A bank past
+    ``MAX_PROMPTS`` rows is refused, as it would no longer be one."""
+    bank = prompts.select("grp", "label", "embedding").limit(MAX_PROMPTS + 1).collect()
+    if len(bank) > MAX_PROMPTS:
+        raise ValueError(f"a prompt bank holds at most {MAX_PROMPTS} rows")
+    groups: dict[str, list] = {}
+    for row in sorted(bank, key=lambda r: (r["grp"], r["label"])):
+        groups.setdefault(row["grp"], []).append(row)
+    held = [(grp, np.array([r["label"] for r in rows], object), np.array([r["embedding"] for r in rows], float))
+            for grp, rows in groups.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, m = vb.longs(batch.column("id")), vb.matrix(batch.column("embedding"))
+            for grp, labels, vectors_ in held:
+                logits = np.round(m @ vectors_.T, 12) * scale  # copies of a vector tie
+                weights = np.exp(logits - logits.max(axis=1, keepdims=True))
+                mass = weights.sum(axis=1)
+                margin = np.ones(len(ids))
+                if len(labels) > 1:
+                    margin = (1 - np.partition(weights, -2, axis=1)[:, -2]) / mass
+                won = margin >= min_margin
+                yield pa.RecordBatch.from_pydict({
+                    "id": ids[won], "grp": pa.array([grp] * int(won.sum()), pa.string()),
+                    "label": pa.array(labels[logits.argmax(axis=1)[won]], pa.string()),
+                    "confidence": 1 / mass[won], "margin": margin[won]})
+
+    return vectors.select("id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(
+        run, "id long, grp string, label string, confidence double, margin double")
 
 
 def similarity_floor(vectors: DataFrame, q: float = 0.1, **options) -> DataFrame:

@@ -56,7 +56,7 @@ def _cross_pairs(visitors: pa.Table, homes: pa.Table, threshold: float) -> pa.Ta
         vc, hc = vb.longs(visitors["cell"]), vb.longs(homes["cell"])
         vm, hm = vb.matrix(visitors["embedding"]), vb.matrix(homes["embedding"])
         for lo in range(0, len(va), _CHUNK):
-            scores = vm[lo:lo + _CHUNK] @ hm.T
+            scores = np.round(vm[lo:lo + _CHUNK] @ hm.T, 12)  # copies of a vector tie
             i, j = np.nonzero(scores > threshold)
             within = vc[lo + i] == hc[j]
             keep = ~within | (va[lo + i] < ha[j])
@@ -79,7 +79,7 @@ def _pairs_against_held(vectors: DataFrame, held: vb.Held, threshold: float) ->
         for batch in batches:
             ids, m = vb.longs(batch["id"]), vb.matrix(batch["embedding"])
             for lo in range(0, len(ids), _CHUNK):
-                scores = m[lo:lo + _CHUNK] @ side.vectors.T
+                scores = np.round(m[lo:lo + _CHUNK] @ side.vectors.T, 12)  # copies of a vector tie
                 i, j = np.nonzero(scores > threshold)
                 keep = ids[lo + i] < side.ids[j]
                 i, j = i[keep], j[keep]
@@ -171,7 +171,7 @@ def _knn_held_queries(corpus, held, k, exclude_self, penalty):
             off = vb.doubles(batch[penalty]) if penalty else None
             for lo in range(0, n, _CHUNK):
                 part = slice(lo, lo + _CHUNK)
-                scores = q.vectors[part] @ m.T
+                scores = np.round(q.vectors[part] @ m.T, 12)  # copies of a vector tie
                 if off is not None:
                     scores = scores - off[None, :]
                 if exclude_self:
@@ -192,7 +192,7 @@ def _knn_held_corpus(queries, held, k, exclude_self, penalty):
         for batch in batches:
             ids, m = vb.longs(batch["query_id"]), vb.matrix(batch["embedding"])
             for lo in range(0, len(ids), _CHUNK):
-                scores = m[lo:lo + _CHUNK] @ c.vectors.T
+                scores = np.round(m[lo:lo + _CHUNK] @ c.vectors.T, 12)  # copies of a vector tie
                 if penalty:
                     scores = scores - c.extra[penalty][None, :]
                 if exclude_self:
@@ -221,7 +221,7 @@ def _knn_blocks(corpus, queries, k, exclude_self, penalty, block_rows):
             qm, cm = vb.matrix(visitors["embedding"]), vb.matrix(homes["embedding"])
             off = vb.doubles(homes[penalty]) if penalty else None
             for lo in range(0, len(q_ids), _CHUNK):
-                scores = qm[lo:lo + _CHUNK] @ cm.T
+                scores = np.round(qm[lo:lo + _CHUNK] @ cm.T, 12)  # copies of a vector tie
                 if off is not None:
                     scores = scores - off[None, :]
                 if exclude_self:
@@ -288,7 +288,7 @@ def exact_ranks(
     def above(qm, own, cm, off):
         out = np.zeros(len(qm), np.int64)
         for lo in range(0, len(qm), _CHUNK):
-            scores = qm[lo:lo + _CHUNK] @ cm.T
+            scores = np.round(qm[lo:lo + _CHUNK] @ cm.T, 12)  # copies of a vector tie
             if off is not None:
                 scores = scores - off[None, :]
             out[lo:lo + _CHUNK] = (scores > own[lo:lo + _CHUNK, None] + 1e-12).sum(axis=1)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,9 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    widths = pc.min_max(pc.list_value_length(column))
+    if column.null_count or widths["min"] != widths["max"]:
+        raise ValueError("vectors of one table must be present and of one width")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(flat, dtype=np.float64).reshape(n, -1)
 

@@ -215,6 +215,7 @@ def test_margin_gate_abstains(spark):
     prompts = spark.createDataFrame(
         [("g", "a", vec(1, 0)), ("g", "b", vec(0, 1)), ("only", "x", vec(1, 0))],
         "grp string, label string, embedding array<float>")
+    assert "Exchange" not in signals.zero_shot(v, prompts)._jdf.queryExecution().executedPlan().toString()
     got = {(r.id, r.grp): r for r in signals.zero_shot(v, prompts).collect()}
     assert got[(1, "g")].label == "a" and (2, "g") not in got
     assert got[(2, "only")].margin == 1.0 and got[(2, "only")].confidence == pytest.approx(1.0)
@@ -252,3 +253,13 @@ def test_threshold_is_strict_and_side_is_held_out(spark):
     assert [r.a_id for r in shown] == [1, 5, 3, 7]
     assert {r.splits: r.pairs for r in leakage.by_split_pair(pairs, 0.85).collect()} == {
         "test~train": 1, "train~validation": 1, "test~validation": 1}
+
+
+def test_ragged_and_missing_vectors_are_refused_at_the_seam():
+    import pyarrow as pa
+
+    from siftwork.operators import vector_blocks
+    for rows in ([[1.0, 2.0], [1.0]], [[1.0], None]):
+        with pytest.raises(ValueError, match="one width"):
+            vector_blocks.matrix(pa.array(rows))
+    assert vector_blocks.matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2)
