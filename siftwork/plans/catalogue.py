@@ -3,6 +3,7 @@
 from siftwork.plans import (  # noqa: F401
     corpus_queries,
     curation_queries,
+    job_queries,
     text_queries,
     vector_queries,
 )

@@ -85,15 +85,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the shared folder, which release() clears."""
+    name = uuid.uuid4().hex
+    _written.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return f"{checkpoint_folder(spark).rstrip('/')}/tables/{name}"
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result has no lineage behind it and survives the loss of executors.
     It is a Parquet table, so later steps read only the columns they use and
     plan with its real size."""
-    name = uuid.uuid4().hex
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/tables/{name}"
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(name)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
