@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,26 +36,19 @@ def dimension(df: DataFrame, vec: str = "embedding") -> int:
     return row["d"] if row else 0
 
 
-def group_vector_sum(
-    df: DataFrame, keys: list[str], vec: str = "embedding", dim: int | None = None
-) -> DataFrame:
-    """Element-wise sum and count per group: ``keys, n, total``.
+def group_vector_sum(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFrame:
+    """Element-wise sum and count per group: ``keys, n, total``, at any width.
 
-    One ``sum`` per element keeps the work in hash aggregation, which combines
-    on the map side; a group of any size then costs one row per map task.
-    """
-    dim = dim or dimension(df, vec)
-    sums = [F.sum(F.col(vec)[i].cast("double")).alias(f"_v{i}") for i in range(dim)]
+    One vector aggregate, which combines on the map side: a group of any size
+    costs one row per map task.  The vectors of a table have one width."""
+    values = array_to_vector(F.col(vec).cast("array<double>"))
     grouped = df.where(F.col(vec).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *sums)
-    total = F.array(*[F.col(f"_v{i}") for i in range(dim)])
-    return grouped.select(*keys, "n", total.alias("total"))
+        F.count(F.lit(1)).alias("n"), Summarizer.sum(values).alias("total"))
+    return grouped.withColumn("total", vector_to_array("total"))
 
 
-def group_vector_mean(
-    df: DataFrame, keys: list[str], vec: str = "embedding", dim: int | None = None
-) -> DataFrame:
-    sums = group_vector_sum(df, keys, vec, dim)
+def group_vector_mean(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFrame:
+    sums = group_vector_sum(df, keys, vec)
     return sums.select(*keys, "n", scale(F.col("total"), F.lit(1.0) / F.col("n")).alias("mean"))
 
 

@@ -66,18 +66,18 @@ def different_signals(items: DataFrame, attributes: DataFrame) -> DataFrame:
              "second_label", "second_share")
 
 
-def coherence(items: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
+def coherence(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean pairwise cosine per album of two or more vectors, from their sum."""
     joined = items.select("album_id", F.col("sample_id").alias("id")).join(vectors, "id")
-    sums = group_vector_sum(joined, ["album_id"], dim=dim)
+    sums = group_vector_sum(joined, ["album_id"])
     return sums.select("album_id", "n", mean_pairwise_cosine(F.col("total"), F.col("n")).alias(
         "coherence")).where(F.col("coherence").isNotNull())
 
 
-def outliers(items: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
+def outliers(items: DataFrame, vectors: DataFrame) -> DataFrame:
     """The members furthest from the album centre, for albums of four up."""
     joined = items.select("album_id", F.col("sample_id").alias("id")).join(vectors, "id")
-    centres = group_vector_sum(joined, ["album_id"], dim=dim).where(
+    centres = group_vector_sum(joined, ["album_id"]).where(
         F.col("n") >= OUTLIER_MIN_MEMBERS).select("album_id", unit(F.col("total")).alias("centre"))
     scored = joined.join(centres, "album_id").select(
         "album_id", "id", dot(F.col("embedding"), F.col("centre")).alias("score"))

@@ -55,11 +55,10 @@ def caption_agreement(captions: DataFrame, caption_vectors: DataFrame,
         .select("id", "sample_id", dot(F.col("embedding"), F.col("_s")).alias("agreement")))
 
 
-def caption_consistency(captions: DataFrame, caption_vectors: DataFrame,
-                        dim: int | None = None) -> DataFrame:
+def caption_consistency(captions: DataFrame, caption_vectors: DataFrame) -> DataFrame:
     """``sample_id, n, consistency``: mean cosine between a sample's captions."""
     joined = captions.select("id", "sample_id").join(caption_vectors, "id")
-    sums = group_vector_sum(joined, ["sample_id"], dim=dim)
+    sums = group_vector_sum(joined, ["sample_id"])
     return sums.select("sample_id", "n", mean_pairwise_cosine(F.col("total"), F.col("n")).alias(
         "consistency")).where(F.col("consistency").isNotNull())
 

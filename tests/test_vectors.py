@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import unit
-from siftwork.operators import composed, hubness, leakage, signals, similarity
+from siftwork.operators import albums, composed, hubness, leakage, signals, similarity
 from siftwork.operators import vector_blocks as vb
 
 # The second setting leaves no side small enough to hold, so blocks must join.
@@ -263,3 +263,16 @@ def test_ragged_and_missing_vectors_are_refused_at_the_seam():
         with pytest.raises(ValueError, match="one width"):
             vector_blocks.matrix(pa.array(rows))
     assert vector_blocks.matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2)
+
+
+def test_coherence_at_full_width(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 768))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    items = spark.createDataFrame([(i % 2, i) for i in range(40)], "album_id long, sample_id long")
+    got = {r.album_id: r.coherence for r in albums.coherence(items, vectors).collect()}
+    for album in (0, 1):
+        own = x[album::2]
+        pairs = (own @ own.T)[np.triu_indices(len(own), 1)]
+        assert got[album] == pytest.approx(pairs.mean())
