@@ -286,6 +286,31 @@ def stale_views(spark, sf):
     return cu.stale_views(views, current).select("id", "stale", "query")
 
 
+@query("stale_corpus_views", """
+    SELECT page_id AS id, page_id % 3 = 1 AS stale, string_split(url, '?')[1] AS query FROM pages""")
+def stale_corpus_views(spark, sf):
+    """Pages as saved views; every third was stored over a smaller corpus."""
+    pages = b.table(spark, sf, "pages")
+    now = b.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
+    marked = pages.withColumn("n", now.scalar()).select(F.col("page_id").alias("id"), F.concat(
+        F.split("url", r"\?")[0], F.lit("&_corpus="),
+        F.col("n") - F.when(F.col("page_id") % 3 == 1, 1).otherwise(0)).alias("query"))
+    current = now.select(F.lit("model").alias("embed_model"), F.col("n").cast("string").alias("corpus"))
+    return cu.stale_views(marked, current).select("id", "stale", "query")
+
+
+@query("refused_activity", """
+    SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) + 11 > 4000 THEN 'payload over 4000 characters'
+           WHEN role <> 'user' THEN 'kind is not a client''s' END AS refused FROM conversations
+    WHERE length(text) + 11 > 4000 OR role <> 'user'""")
+def refused_activity(spark, sf):
+    events = b.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.when(F.col("role") == "user", "search_snapshot").otherwise("album_create").alias("kind"),
+        F.to_json(F.struct(F.col("text").alias("q"))).alias("payload"))
+    return cu.judged_activity(events).where("refused IS NOT NULL").select("id", "refused")
+
+
 @query("valid_activity", """
     SELECT conv_id * 1000 + turn AS id FROM conversations
     WHERE role = 'user' AND length(text) + 11 <= 4000""")

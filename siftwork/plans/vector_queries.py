@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import dot
-from siftwork.operators import albums, composed, describe, fusion, hubness, layout, leakage, listing
+from siftwork.operators import albums, composed, describe, details, fusion, hubness, layout, leakage, listing
 from siftwork.operators import aggregates as ag
 from siftwork.operators import evaluation as ev
 from siftwork.operators import scenarios as sc
@@ -84,6 +84,22 @@ def strongest_pairs(spark, sf):
     return listing.strongest_pairs(pairs).withColumn("score", r6("score"))
 
 
+@query("strongest_pairs_shown", _join(f"""
+    , top AS (SELECT a_id, b_id, score FROM sims WHERE a_id < b_id AND score > {LINE}
+              ORDER BY score DESC, a_id, b_id LIMIT 200)
+    SELECT a_id, b_id, round(score, 6) AS score, a.filename AS a_filename, a.split AS a_split,
+           b.filename AS b_filename, b.split AS b_split
+    FROM top JOIN samples a ON a.id = a_id JOIN samples b ON b.id = b_id""", "samples", "vecs", "sims"))
+def strongest_pairs_shown(spark, sf):
+    """The list with the rows of both sides."""
+    pairs = listing.strongest_pairs(similarity.pairs_above(b.vectors(spark, sf), LINE))
+    rows = b.docs(spark, sf).samples.select("id", "filename", "split")
+    for side in ("a", "b"):
+        shown = rows.select(F.col("id"), *[F.col(c).alias(f"{side}_{c}") for c in ("filename", "split")])
+        pairs = details.hydrate(pairs.withColumnRenamed(f"{side}_id", "id"), shown).withColumnRenamed("id", f"{side}_id")
+    return pairs.withColumn("score", r6("score"))
+
+
 @query("pair_ids", _join(f"""
     SELECT DISTINCT unnest([a_id, b_id]) AS id FROM sims WHERE a_id < b_id AND score > {LINE}""",
     "vecs", "sims"))
