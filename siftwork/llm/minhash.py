@@ -115,11 +115,12 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     placed = striped.join(F.broadcast(guests), "_order", "left").withColumn("_at", F.explode(F.array_compact(F.array(
         F.struct(F.col("_stripe").alias("s"), F.lit(0).alias("g")),
         F.when(F.col("_guest").isNotNull(), F.struct(F.col("_guest").alias("s"), F.lit(1).alias("g")))))))
-    by = Window.partitionBy("_at.s").orderBy(F.col("_at.g"), F.col("_order").desc(),
-                                             F.xxhash64(F.coalesce("text", F.lit(""))))
-    for name in carried:
-        placed = placed.withColumn(f"next_{name}", F.lead(name).over(by))
-    return placed.where("_at.g = 0").drop("_at", "_guest", "_stripe", "_order")
+    placed = placed.withColumns({"_own": F.col("_at.s"), "_late": F.col("_at.g"),
+                                 "_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
+    by = Window.partitionBy("_own").orderBy(F.col("_late"), F.col("_order").desc(), F.col("_tie"))
+    # One select, so that the columns share one window and one exchange.
+    out = placed.select(*docs.columns, "_late", *[F.lead(name).over(by).alias(f"next_{name}") for name in carried])
+    return out.where("_late = 0").drop("_late")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
