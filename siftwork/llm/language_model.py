@@ -248,7 +248,8 @@ def lm_scores(docs: DataFrame, strength: tuple[float, float] = STRENGTH) -> Data
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for
     every row: log10 probabilities under the additive root and under the model,
     learned from the rows that are not held out."""
-    groups = shards = buckets_of(docs)
+    shards = max(1, buckets_of(docs) // 4)
+    groups = 3 * shards  # smaller groups would ask for more n-grams twice
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     keyed = docs.select("doc_id", "text", (fold == 0).alias("held_out"), F.pmod(
         F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("bucket"))
