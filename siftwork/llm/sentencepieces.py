@@ -19,11 +19,12 @@ import hashlib
 import heapq
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +35,17 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-KEPT = 300_000
+KEPT = 150_000
 #: Segments longer than this are not kept; from LONGER on, merges use a heap.
 LONG, LONGER = 64, 512
 _NONE = (float("inf"), 0)
+#: Characters of text that are encoded before their rows are passed on.
+AT_ONCE = 2 << 20
 
 
-#: Ids as text and as numbers, what they decode to inside a text, and how many
-#: bytes of the original each covers.
-Segment = tuple[str, tuple[int, ...], str, tuple[int, ...]]
+#: Ids as text and as 32-bit numbers, what they decode to inside a text, and how
+#: many bytes of the original each covers, a byte each.
+Segment = tuple[str, bytes, str, bytes]
 
 
 class CharMap:
@@ -265,7 +268,7 @@ class PieceCodec:
                 shown = shown.replace(MARK, " ")
             else:
                 shown = self.decode([self.byte_ids[0], *ids])[1:] if self.fallback else self.decode(ids)
-            entry = (",".join(map(str, ids)), tuple(ids), shown, tuple(self._widths(pieces)))
+            entry = (",".join(map(str, ids)), np.array(ids, "<i4").tobytes(), shown, bytes(self._widths(pieces)))
         if len(segment) <= LONG:
             if len(self.kept) >= KEPT:  # what was used lately stays one round longer
                 self.older, self.kept = self.kept, {}
@@ -283,35 +286,35 @@ class PieceCodec:
                 out += [1] * n
         return out
 
-    def ends(self, text: str | None, widths: list[tuple[int, ...]]) -> np.ndarray:
+    def ends(self, text: str | None, widths: bytes) -> np.ndarray:
         """Where each piece ends in the bytes of the original text: projected by
         the widths where nothing but blanks was replaced, else by the notes that
         normalisation takes."""
         text = text or ""
         if self.map.units or self.tidy or MARK in text or (self.escape and not self.dummy):
             return np.array([e for _, _, e in self.encode_spans(text)], np.int32)
-        out = np.cumsum(np.fromiter(chain.from_iterable(widths), np.int32), dtype=np.int32)
+        out = np.cumsum(np.frombuffer(widths, np.uint8), dtype=np.int32)
         return out - 1 if self.dummy else out
 
-    def coded(self, text: str | None) -> tuple[list[tuple[int, ...]], str, str, list[tuple[int, ...]]]:
-        """Ids by segment, all ids as text, the text that they decode to, and the
-        widths by segment."""
+    def coded(self, text: str | None) -> tuple[str, np.ndarray, str, bytes]:
+        """The ids as text and as numbers, the text that they decode to, and
+        their widths."""
         get, new = self.kept.get, self._segment
         found = [get(s) or new(s) for s in self.segment.findall(self._quick(text or ""))]
         if not found:
-            return [], "", "", []
+            return "", np.empty(0, np.int32), "", b""
         names, ids, shown, widths = zip(*found, strict=True)
         joined = "".join(shown)
         if (self.dummy or self.tidy) and joined.startswith(" "):
             joined = joined[1:]
-        return list(ids), ",".join(names), joined, list(widths)
+        return ",".join(names), np.frombuffer(b"".join(ids), "<i4"), joined, b"".join(widths)
 
     def digests(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids, and SHA-256 of the ids, of the decoded text and of the
         byte positions where pieces end (32-bit little-endian)."""
-        ids, names, shown, widths = self.coded(text)
+        names, ids, shown, widths = self.coded(text)
         ends = self.ends(text, widths).astype("<i4").tobytes()
-        return sum(map(len, ids)), _sha(names), _sha(shown), hashlib.sha256(ends).hexdigest()
+        return len(ids), _sha(names), _sha(shown), hashlib.sha256(ends).hexdigest()
 
 
 def _read(run: bytes) -> str:
@@ -345,26 +348,47 @@ def piece_digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
         "doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", "d.ends_sha256")
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each batch in slices of moderate text, with the texts."""
+    for batch in batches:
+        texts, lo, size = batch.column("text").to_pylist(), 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size >= AT_ONCE or hi == len(texts):
+                yield batch.slice(lo, hi - lo), texts[lo:hi]
+                lo, size = hi, 0
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows), pa.int32()))
+
+
 def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``ids`` and ``decoded``, what the ids decode
     to; with ``spans`` also ``ends``, where every piece ends in the bytes of the
     original text (each begins where the one before ends)."""
     path = tokenizer_file(model)
-    kind = "ids array<int>, decoded string" + ", ends array<int>" * spans
+    more = [("ids", "array<int>"), ("decoded", "string")] + [("ends", "array<int>")] * spans
+    taken = {name for name, _ in more}
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
 
-    @F.pandas_udf(kind)
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
-        coded = [of.coded(t) for t in texts]
-        out = {"ids": [np.fromiter(chain.from_iterable(c[0]), np.int32) for c in coded],
-               "decoded": [c[2] for c in coded]}
-        if spans:
-            out["ends"] = [of.ends(t, c[3]) for t, c in zip(texts, coded, strict=True)]
-        return pd.DataFrame(out)
-
-    taken = {"ids", "decoded", "_pieces"} | ({"ends"} if spans else set())
-    kept = [c for c in docs.columns if c.lower() not in taken]
-    return docs.select(*kept, encode("text").alias("_pieces")).select(*kept, "_pieces.*")
+        for part, texts in _in_parts(batches):
+            ids, decoded, ends = [], [], []
+            for t in texts:
+                _, numbers, shown, widths = of.coded(t)
+                ids.append(numbers)
+                decoded.append(shown)
+                if spans:
+                    ends.append(of.ends(t, widths))
+            columns = [*part.columns, _lists(ids), pa.array(decoded, pa.string())] + ([_lists(ends)] if spans else [])
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *(name for name, _ in more)])
+
+    fields = T.StructType([*kept.schema.fields, *(T.StructField(name, T.StringType() if kind == "string" else
+                                                               T.ArrayType(T.IntegerType())) for name, kind in more)])
+    return kept.mapInArrow(encode, fields)
 
 
 def decode_pieces(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
