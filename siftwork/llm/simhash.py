@@ -128,7 +128,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group: the least doc_id, the least text hash
     of its texts; a document without id stands behind all others."""
-    grouped = _grouped(docs, size, max_bits)
+    return keep_first(docs, _grouped(docs, size, max_bits))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of ``grouped`` (doc_id, copy, root)."""
     first = grouped.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy")).distinct()

@@ -3,7 +3,8 @@
 import hashlib
 import re
 
-from siftwork.llm import components, decontamination, repeats, simhash
+import corpus_pipeline
+from siftwork.llm import components, decontamination, near_copies, repeats, simhash
 from .conftest import ODD, prose
 
 
@@ -86,6 +87,72 @@ def test_one_of_each_group_stays(docs_of):
     assert simhash.keep_one(docs_of([])).count() == 0 and simhash.near_duplicates(docs_of([])).count() == 0
 
 
+def near_copies_by_brute_force(rows):
+    """Ids of the rows (id, text) that stay: the least of each component."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(least.values())
+
+
+def edited_texts(rng):
+    """Copies with few words changed (around the threshold), a crowd around one
+    text, a crowd with a passage in common, and a line that many texts hold."""
+    many = [f"w{i}" for i in range(900)]
+    line = prose(rng, 9, many)
+    out = [f"{prose(rng, rng.randrange(4, 120), many)} {line}" for _ in range(60)]
+    for t in [prose(rng, n, many) for n in (6, 25, 60, 100, 200, 400)]:
+        for edits in (0, 1, 2, 3, 5, 8):
+            words = t.split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(9)}"
+            out.append(" ".join(words))
+        out += [t[:len(t) * 9 // 10], f"{t} {prose(rng, 12, many)}"]
+    crowd = prose(rng, 150, many)
+    for edits in (3, 4, 5, 6):
+        for _ in range(18):
+            words = crowd.split()
+            for _ in range(edits):
+                words[rng.randrange(150)] = f"u{rng.randrange(900)}"
+            out.append(" ".join(words))
+    out += [f"{prose(rng, 25, many)} {crowd[:400]}" for _ in range(45)]
+    return out
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark, docs_of, rng):
+    texts = ODD + edited_texts(rng)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    want = near_copies_by_brute_force(list(zip(order, texts, strict=True)))
+    assert len(want) < len(texts)
+    docs = docs_of(texts, ids=order)
+    kept = corpus_pipeline.deduplicated(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_near_copies_without_rows_and_ids(docs_of):
+    docs = docs_of(["a b c d", "A b c D", None, "", "other words here now"], ids=[4, 2, 9, 9, None])
+    kept = near_copies.keep_one(docs.unionByName(docs))
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 9]
+    assert near_copies.keep_one(docs_of([])).count() == 0
+
+
 def removed_by_brute_force(rows, width=repeats.WIDTH):
     """rows: (doc_id, text) in corpus order."""
     seen, out = set(), []
