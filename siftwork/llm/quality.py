@@ -205,7 +205,8 @@ def _log_odds(p: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
              sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
     """(doc_id, copy, host, path, evidence_<head>, site_<head>, p_<head>, keep)
-    for every row of ``docs``; ``copy`` hashes the text."""
+    for every row of ``docs``; ``copy`` hashes the text.  ``host`` and ``path`` name
+    columns; the defaults stand in where there is no URL (languages of a source)."""
     scored = saved(document_evidence(docs, labels, F.col(host).cast("string"), F.col(path).cast("string"), sample))
     given = _per_document(labels).select("doc_id", *[F.col(h).alias(f"label_{h}") for h in HEADS])
     scored = saved(scored.join(given, "doc_id", "left"))
