@@ -22,6 +22,7 @@ from siftwork.llm import (
     simhash,
     token_counts,
     url_filters,
+    variants,
 )
 from siftwork.llm.common import table
 from siftwork.session import ship_package
@@ -171,6 +172,26 @@ def op10(spark, sf):
     return minhash.edited_fingerprints(table(spark, sf, "documents"))
 
 
+#: One run in so many loses a code point, so that there are variants to find.
+SLIPS = 97
+
+
+def slipped(runs: DataFrame) -> DataFrame:
+    """The runs as words; every 97th, by checksum, without one code point."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    drawn = runs.select("run", F.crc32(name).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    short = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return drawn.select(F.when(F.col("h") % SLIPS == 0, short).otherwise(F.col("run")).alias("word"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf):
+    # A run of fewer code points makes no word of five.
+    words = slipped(variants.runs(table(spark, sf, "documents"), least=5))
+    return variants.variants(variants.vocabulary(words, 5, 3))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
