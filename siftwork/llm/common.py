@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,41 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def streamed_sha256(df: DataFrame, keys: list[str], order: list[str], text: str, name: str, between: str = "") -> DataFrame:
+    """(*keys, name): SHA-256, as hex, of a group's texts in order.
+
+    A digest is sequential, so a group passes through one task, sorted by Spark (which spills); the
+    task holds a digest's state and one batch, never a group.  Join short texts to longer ones first."""
+    rows = df.select(*keys, *order, text).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = df.select(*keys).schema.add(name, "string")
+    joint = between.encode()
+
+    def run(batches):
+        now, digest = None, None
+        for batch in batches:
+            out = {c: [] for c in schema.names}
+
+            def close(key):
+                for column, value in zip(schema.names, (*key, digest.hexdigest()), strict=True):
+                    out[column].append(value)
+
+            for *key, part in zip(*(batch[c].to_pylist() for c in (*keys, text)), strict=True):
+                if digest is None or key != now:
+                    if digest is not None:
+                        close(now)
+                    now, digest = key, hashlib.sha256()
+                else:
+                    digest.update(joint)
+                digest.update((part or "").encode("utf-8", "replace"))
+            yield _arrow(out, batch, keys, name)
+        if digest is not None:
+            yield _arrow({**{k: [v] for k, v in zip(keys, now, strict=True)}, name: [digest.hexdigest()]}, batch, keys, name)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _arrow(out: dict, like: pa.RecordBatch, keys: list[str], name: str) -> pa.RecordBatch:
+    fields = [*(like.schema.field(k) for k in keys), pa.field(name, pa.string())]
+    return pa.record_batch([pa.array(out[f.name], f.type) for f in fields], schema=pa.schema(fields))

@@ -16,6 +16,7 @@ from siftwork.llm import (
     language_model,
     licenses,
     minhash,
+    prefix_trie,
     quality,
     repeats,
     sentencepieces,
@@ -24,7 +25,8 @@ from siftwork.llm import (
     url_filters,
     variants,
 )
-from siftwork.llm.common import table
+from siftwork.llm.common import saved, table
+from siftwork.operators.order_stats import positions
 from siftwork.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,6 +194,36 @@ def op11(spark, sf):
     return variants.variants(variants.vocabulary(words, 5, 3))
 
 
+#: Conversations that take their first turns from one another, and the most turns they take.
+TOGETHER, TAKEN = 5, 9
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, n_turns), and (conv_id, depth, role, text): conversations that begin with the first h
+    turns of the first of their five.  Rows without a conv_id belong to no conversation."""
+    rows = conversations.where("conv_id IS NOT NULL").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = saved(positions(rows, ["conv_id"], ["turn", "role", "text"], "at"))
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
+    drawn = sizes.withColumns({
+        "first": F.col("conv_id") - F.col("conv_id") % TOGETHER,
+        "h": F.crc32(F.col("conv_id").cast("string")) % TAKEN})
+    convs = saved(drawn.join(sizes.select(F.col("conv_id").alias("first"), F.col("size").alias("has")), "first", "left")
+                  .withColumn("taken", F.least("h", F.coalesce("has", F.lit(0)))))
+    start = turns.where(F.col("at") < TAKEN - 1).withColumnRenamed("conv_id", "first").join(
+        convs.select("conv_id", "first", "taken"), "first").where("at < taken").select(
+        "conv_id", (F.col("at") + 1).alias("depth"), "role", "text")
+    rest = turns.join(convs.select("conv_id", "h", "taken"), "conv_id").where("at >= h").select(
+        "conv_id", (F.col("at") - F.col("h") + F.col("taken") + 1).alias("depth"), "role", "text")
+    n_turns = F.col("taken") + F.greatest(F.col("size") - F.col("h"), F.lit(0))
+    return convs.select("conv_id", n_turns.alias("n_turns")), start.unionByName(rest)
+
+
+@query("op12_prefix_trie")
+def op12(spark, sf):
+    return prefix_trie.prefix_trie(*rebuilt(table(spark, sf, "conversations")))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
