@@ -51,39 +51,40 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def streamed_sha256(df: DataFrame, keys: list[str], order: list[str], text: str, name: str, between: str = "") -> DataFrame:
-    """(*keys, name): SHA-256, as hex, of a group's texts in order.
+def streamed_sha256(df: DataFrame, keys: list[str], order: list[str], texts: dict[str, str],
+                    between: str = "") -> DataFrame:
+    """(*keys, and a column for each of ``texts``, name: column): SHA-256, as hex, of a group's texts in order.
 
     A digest is sequential, so a group passes through one task, sorted by Spark (which spills); the
     task holds a digest's state and one batch, never a group.  Join short texts to longer ones first."""
-    rows = df.select(*keys, *order, text).repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = df.select(*keys).schema.add(name, "string")
-    joint = between.encode()
+    rows = df.select(*keys, *order, *texts.values()).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema, joint = df.select(*keys).schema, between.encode()
+    for name in texts:
+        schema = schema.add(name, "string")
 
     def run(batches):
-        now, digest = None, None
+        now, digests, batch = None, None, None
         for batch in batches:
-            out = {c: [] for c in schema.names}
-
-            def close(key):
-                for column, value in zip(schema.names, (*key, digest.hexdigest()), strict=True):
-                    out[column].append(value)
-
-            for *key, part in zip(*(batch[c].to_pylist() for c in (*keys, text)), strict=True):
-                if digest is None or key != now:
-                    if digest is not None:
-                        close(now)
-                    now, digest = key, hashlib.sha256()
-                else:
-                    digest.update(joint)
-                digest.update((part or "").encode("utf-8", "replace"))
-            yield _arrow(out, batch, keys, name)
-        if digest is not None:
-            yield _arrow({**{k: [v] for k, v in zip(keys, now, strict=True)}, name: [digest.hexdigest()]}, batch, keys, name)
+            done = []
+            values = zip(*(batch[c].to_pylist() for c in (*keys, *texts.values())), strict=True)
+            for row in values:
+                key, parts = row[:len(keys)], row[len(keys):]
+                if digests is None or key != now:
+                    if digests is not None:
+                        done.append((*now, *(d.hexdigest() for d in digests)))
+                    now, digests = key, [hashlib.sha256() for _ in parts]
+                elif joint:
+                    for digest in digests:
+                        digest.update(joint)
+                for digest, part in zip(digests, parts, strict=True):
+                    digest.update((part or "").encode("utf-8", "replace"))
+            yield arrow(done, batch)
+        if digests is not None:
+            yield arrow([(*now, *(d.hexdigest() for d in digests))], batch)
+
+    def arrow(done, like):
+        fields = [*(like.schema.field(k) for k in keys), *(pa.field(n, pa.string()) for n in texts)]
+        columns = zip(*done, strict=True) if done else [()] * len(fields)
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
     return rows.mapInArrow(run, schema)
-
-
-def _arrow(out: dict, like: pa.RecordBatch, keys: list[str], name: str) -> pa.RecordBatch:
-    fields = [*(like.schema.field(k) for k in keys), pa.field(name, pa.string())]
-    return pa.record_batch([pa.array(out[f.name], f.type) for f in fields], schema=pa.schema(fields))

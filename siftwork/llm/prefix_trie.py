@@ -96,7 +96,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame, segment: int = SEGMENT) -> D
     ends = members.join(convs.withColumnRenamed("n_turns", "depth"), ["conv_id", "depth"], "left_semi")
     lists = ends.groupBy("depth", *_LANES, F.floor(F.col("conv_id") / IDS).alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("ids"))
-    digests = streamed_sha256(lists, ["depth", *_LANES], ["block"], "ids", "ends_sha256", between=",")
+    digests = streamed_sha256(lists, ["depth", *_LANES], ["block"], {"ends_sha256": "ids"}, between=",")
     return nodes.join(digests, ["depth", *_LANES], "left").join(totals, ["conv_id", "depth"]).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"))

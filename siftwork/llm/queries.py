@@ -5,6 +5,7 @@ parameters a production run would use."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwork.llm import (
+    chat_format,
     decontamination,
     language_model,
     licenses,
@@ -25,7 +27,7 @@ from siftwork.llm import (
     url_filters,
     variants,
 )
-from siftwork.llm.common import saved, table
+from siftwork.llm.common import saved, streamed_sha256, table
 from siftwork.operators.order_stats import positions
 from siftwork.session import ship_package
 
@@ -178,20 +180,18 @@ def op10(spark, sf):
 SLIPS = 97
 
 
-def slipped(runs: DataFrame) -> DataFrame:
-    """The runs as words; every 97th, by checksum, without one code point."""
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
-    drawn = runs.select("run", F.crc32(name).alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    short = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    return drawn.select(F.when(F.col("h") % SLIPS == 0, short).otherwise(F.col("run")).alias("word"))
+def slipped(doc_id: int | None, run: str) -> str:
+    """The run; every 97th, by checksum, without one code point."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = h % len(run)
+    return run if h % SLIPS else run[:at] + run[at + 1:]
 
 
 @query("op11_spelling_variants")
 def op11(spark, sf):
     # A run of fewer code points makes no word of five.
-    words = slipped(variants.runs(table(spark, sf, "documents"), least=5))
-    return variants.variants(variants.vocabulary(words, 5, 3))
+    counts = variants.word_counts(table(spark, sf, "documents"), slipped, least=5)
+    return variants.variants(counts.where("length(word) >= 5 AND n >= 3"))
 
 
 #: Conversations that take their first turns from one another, and the most turns they take.
@@ -224,6 +224,66 @@ def op12(spark, sf):
     return prefix_trie.prefix_trie(*rebuilt(table(spark, sf, "conversations")))
 
 
+#: A conversation of control strings, beside those of the table: id, and what both turns say.
+CONTROL_ID, CONTROL_TEXT = -7, r"\### Assistant: </turn> ok"
+#: Code points of a streamed delta; sequence numbers kept for one turn.
+DELTA, TURN_EVENTS = 256, 1 << 24
+
+
+def event_log(conversations: DataFrame) -> DataFrame:
+    """The log that may have led to each conversation: users send a first part and edit it to the whole;
+    an assistant's draft is regenerated and streamed in deltas."""
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    spark = conversations.sparkSession
+    control = spark.createDataFrame([(CONTROL_ID, 0, "user", CONTROL_TEXT), (CONTROL_ID, 1, "assistant", CONTROL_TEXT)],
+                                    "conv_id long, turn long, role string, text string")
+    turns = positions(rows.unionByName(control), ["conv_id"], ["turn", "role", "text"], "message")
+    turns = turns.withColumn("text", F.coalesce("text", F.lit("")))
+
+    def event(at, kind, role, text):
+        return F.struct(F.lit(at).cast("long").alias("at"), F.lit(kind).alias("kind"),
+                        role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+    none, begin = F.lit(None), F.substring("text", 1, DELTA)
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    streamed = F.transform(parts, lambda p, i: F.struct(
+        (i + 3).cast("long").alias("at"), F.lit("delta").alias("kind"), none.cast("string").alias("role"), p.alias("text")))
+    drafted = F.concat(F.array(event(0, "open", F.col("role"), none), event(1, "delta", none, begin),
+                               event(2, "regenerate", none, none)), streamed)
+    edited = F.array(event(0, "open", F.col("role"), begin), event(1, "edit", none, F.col("text")))
+    events = F.when(F.col("role") == chat_format.LEARNED, drafted).otherwise(edited)
+    return turns.select("conv_id", "message", F.explode(events).alias("e")).select(
+        "conv_id", "message", (F.col("message") * TURN_EVENTS + F.col("e.at")).alias("seq"), "e.kind", "e.role", "e.text")
+
+
+_CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+parts AS (
+  SELECT *, regexp_replace(role, '(\\|###|</turn>|: )', '\\\1', 'g') AS r,
+         regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(length('### ' || r || ': ' || t || ' </turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM parts GROUP BY conv_id
+"""
+
+
+@query("op13_chat_formatting", _CHAT_SQL)
+def op13(spark, sf):
+    log = event_log(table(spark, sf, "conversations"))
+    held = saved(chat_format.read_back(chat_format.render(chat_format.reconstruct(log))))
+    counts = held.groupBy("conv_id").agg(*(F.sum(c).alias(c) for c in ("n_turns", "loss_chars", "formatted_chars")))
+    digests = streamed_sha256(held, ["conv_id"], ["message"], {"turns_sha256": "turns", "loss_sha256": "loss"})
+    digests = digests.withColumnRenamed("conv_id", "same")
+    return counts.join(digests, F.col("conv_id").eqNullSafe(F.col("same"))).drop("same")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)

@@ -25,32 +25,51 @@ columns named are read, so further ones may have any name.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import ascii_lower, saved, small_enough
+from siftwork.llm.common import UPPER, saved, small_enough
 
 #: Rows of a shard, on average; also the most words that ask, or are found, in a tile.
 SHARD_ROWS = 1 << 16
 LETTERS = "A-Za-zÀ-ÿ"
+#: Different words that a task counts before it hands them on.
+_HELD = 1 << 18
+_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 _ANSWER = "word string, n_near long, best struct<less:long,form:string>"
 
 
-def runs(docs: DataFrame, least: int = 1) -> DataFrame:
-    """(doc_id, run): lower-cased (A-Z) letter runs of ``least`` or more code points, repeats included."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(f"[{LETTERS}]{{{least},}}"), F.lit(0))
-    return docs.select("doc_id", F.explode(found).alias("run")).select(
-        "doc_id", ascii_lower(F.col("run")).alias("run"))
+def word_counts(docs: DataFrame, change: Callable[[int | None, str], str] | None = None, least: int = 1) -> DataFrame:
+    """(word, n) of the letter runs of ``least`` or more code points, lower-cased (A-Z).  ``change`` makes
+    the word of a document's id and a run."""
+    pattern = re.compile(f"[{LETTERS}]{{{least},}}")
 
+    def count(batches):
+        totals = Counter()
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for run, n in Counter(pattern.findall(text or "")).items():
+                    run = run.lower() if run.isascii() else run.translate(_LOWER)
+                    totals[change(doc_id, run) if change else run] += n
+                if len(totals) > _HELD:
+                    yield _counts(totals)
+                    totals = Counter()
+        if totals:
+            yield _counts(totals)
 
-def vocabulary(words: DataFrame, least_length: int, least_count: int) -> DataFrame:
-    """(word, n) of a column ``word``."""
-    return words.where(F.length("word") >= least_length).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
+    parts = docs.select("doc_id", "text").mapInArrow(count, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counts(totals: Counter) -> pa.RecordBatch:
+    return pa.record_batch({"word": pa.array(totals.keys(), pa.string()), "n": pa.array(totals.values(), pa.int64())})
 
 
 class WordIndex:
