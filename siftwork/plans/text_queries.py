@@ -189,28 +189,33 @@ def lexical_pool(spark, sf):
 
 
 @query("term_stats", _join(rf"""
-    , toks AS (SELECT sample_id, {TOKENS.format('text')} AS t FROM line_captions),
-    have AS (SELECT DISTINCT sample_id, unnest(t) AS token FROM toks),
+    , toks AS (SELECT id, sample_id, {TOKENS.format('text')} AS t FROM line_captions),
+    post AS (SELECT id, sample_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks),
     ask AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(text), '\s+')) AS term FROM queries),
     one AS (SELECT query_id, term, {TOKENS.format('term')} AS t FROM ask
-            WHERE term <> '' AND term NOT IN ({STOP_SQL}))
+            WHERE term <> '' AND term NOT IN ({STOP_SQL})),
+    phr AS (SELECT t, unnest(t) AS token, generate_subscripts(t, 1) AS off FROM (
+                SELECT DISTINCT t FROM one WHERE len(t) > 0)),
+    have AS (SELECT DISTINCT t, sample_id FROM (
+                SELECT t, id, sample_id FROM post JOIN phr USING (token)
+                GROUP BY t, id, sample_id, pos - off HAVING count(*) = len(t)))
     SELECT query_id, term, count(sample_id) AS samples,
-           round(count(sample_id) / (SELECT count(*) FROM samples), 4) AS fraction,
+           round_even(count(sample_id) / (SELECT count(*) FROM samples), 4) AS fraction,
            count(sample_id) / (SELECT count(*) FROM samples) >= 0.2 AS common
-    FROM one LEFT JOIN have ON token = t[1] WHERE len(t) = 1 GROUP BY query_id, term""",
+    FROM one LEFT JOIN have USING (t) WHERE len(t) > 0 GROUP BY query_id, term""",
     "samples", "line_captions", "queries"))
 def term_stats(spark, sf):
     c = b.lines(spark, sf)
     n = c.samples.agg(F.count(F.lit(1)).alias("n"))
-    got = lexical.term_stats(c.captions, b.page_queries(spark, sf), n)
-    return got.where(F.size(tx.index_tokens(F.col("term"))) == 1)
+    return lexical.term_stats(c.captions, b.page_queries(spark, sf), n)
 
 
 # --------------------------------------------------------------------------- hybrid
 
 HYBRID = KEYWORD + """
-    , sem AS (SELECT a_id AS query_id, b_id AS id, score, row_number() OVER (
-        PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM sims JOIN queries ON query_id = a_id),
+    , sem AS (SELECT query_id, b_id AS id, score, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, b_id) AS rank
+        FROM sims JOIN queries ON query_id % (SELECT count(*) FROM vecs) = a_id),
     fus AS (SELECT query_id, id, s.rank AS semantic_rank, k.rank AS keyword_rank,
                    coalesce(1 / (60 + s.rank), 0) + coalesce(1 / (60 + k.rank), 0) AS score
             FROM (SELECT * FROM sem WHERE rank <= 300) s
@@ -221,11 +226,15 @@ HYBRID = KEYWORD + """
 HYBRID_FRAGMENTS = ("line_captions", "queries", "vecs", "sims")
 
 
+def _with_vector(spark, sf, rows, number):
+    """Each row with a vector: the one of its number, counted round the vector table."""
+    v = b.vectors(spark, sf)
+    at = F.pmod(F.col(number), F.lit(v.count()))
+    return rows.withColumn("_at", at).join(v.withColumnRenamed("id", "_at"), "_at").drop("_at")
+
+
 def _vector_queries(spark, sf):
-    """Page titles with the vector that carries the page's number; a page past
-    the vector table asks by keyword alone."""
-    v = b.vectors(spark, sf).withColumnRenamed("id", "query_id")
-    return b.page_queries(spark, sf).join(v, "query_id")
+    return _with_vector(spark, sf, b.page_queries(spark, sf), "query_id")
 
 
 def _lanes(spark, sf):
@@ -261,7 +270,7 @@ def match_paths(spark, sf):
 @query("search_page", _join(HYBRID + """
     SELECT query_id, id, CAST(rank AS INT) AS rank,
            60 < least(count(*) OVER (PARTITION BY query_id), 300) AS has_more
-    FROM rrf WHERE rank <= 300 AND query_id IN (SELECT id FROM vecs) AND id IN (SELECT doc_id FROM documents)
+    FROM rrf WHERE rank <= 300 AND id IN (SELECT doc_id FROM documents)
     QUALIFY rank <= 60""", *HYBRID_FRAGMENTS))
 def search_page(spark, sf):
     """First page of hybrid search with the full result row, cut to its keys."""
@@ -298,7 +307,7 @@ def rerank_by_axis(spark, sf):
 @query("benchmark_modes", _join(lexical_sql("captions") + """
     , ask AS (SELECT q.id AS query_id, q.sample_id AS target, v, len(list_filter(
                   string_split_regex(q.text, '\\s+'), lambda w: w <> '')) AS words
-              FROM captions q JOIN vecs ON vecs.id = q.sample_id + q.idx),
+              FROM captions q JOIN vecs ON vecs.id = (q.sample_id + q.idx) % (SELECT count(*) FROM vecs)),
     best AS (SELECT query_id, sample_id AS id, max(score) AS score FROM bm
              WHERE query_id <> caption_id GROUP BY ALL),
     kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best),
@@ -330,7 +339,7 @@ def benchmark_modes(spark, sf):
     caps = b.turns(spark, sf)
     v = b.vectors(spark, sf)
     linked = caps.withColumn("vec", F.col("sample_id") + F.col("idx"))
-    asked = linked.join(v.withColumnRenamed("id", "vec"), "vec").select(
+    asked = _with_vector(spark, sf, linked, "vec").select(
         F.col("id").alias("query_id"), "text", F.col("sample_id").alias("target_id"), "embedding")
     got = evaluation.benchmark(asked, caps, v)
     return got.select("mode", "queries", *[r6(c).alias(c) for c in (
@@ -339,8 +348,9 @@ def benchmark_modes(spark, sf):
 
 
 @query("on_target", _join("""
-    , near AS (SELECT a_id AS query_id, b_id AS id, row_number() OVER (
-        PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM sims),
+    , near AS (SELECT query_id, b_id AS id, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, b_id) AS rank
+        FROM sims JOIN queries ON query_id % (SELECT count(*) FROM vecs) = a_id),
     f AS (SELECT sample_id, arg_min(text, idx) AS t FROM captions GROUP BY 1),
     wd AS (SELECT sample_id, string_split_regex(regexp_replace(lower(t), '[.,]', ' ', 'g'), '\\s+') AS ws FROM f),
     q AS (SELECT query_id, string_split_regex(regexp_replace(lower(text), '[.,]', ' ', 'g'), '\\s+') AS ws
