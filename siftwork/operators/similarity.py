@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators import ball_tree
 from siftwork.operators import vector_blocks as vb
-from siftwork.session import spread
+from siftwork.session import reliable_checkpoint, spread
 
 PAIR_SCHEMA = "a_id long, b_id long, score double"
 HIT_SCHEMA = "query_id long, id long, score double"
@@ -33,42 +34,31 @@ def pairs_above(
     if held is not None:
         return _pairs_against_held(vectors, held, threshold)
 
-    celled, cells = vb.make_cells(vectors, vectors.count(), block_rows)
-    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + vb.ANGLE_SLACK
-
-    def can_hold_partner(batch, ang, c):
-        # Pairs between two cells are found from the lower-numbered one.
-        own = batch["cell"].to_numpy(zero_copy_only=False)
-        order = own[:, None] <= np.arange(len(c.rows))[None, :]
-        return order & (ang <= c.reach[None, :] + reach)
-
-    def kernel(visitors: pa.Table, homes: pa.Table) -> pa.Table:
-        return _cross_pairs(visitors, homes, threshold)
-
-    return vb.visit(celled.drop("angle"), celled.drop("angle"), cells, can_hold_partner,
-                    kernel, PAIR_SCHEMA, block_rows)
-
-
-def _cross_pairs(visitors: pa.Table, homes: pa.Table, threshold: float) -> pa.Table:
-    a_out, b_out, s_out = [], [], []
-    if visitors.num_rows and homes.num_rows:
-        va, ha = vb.longs(visitors["id"]), vb.longs(homes["id"])
-        vc, hc = vb.longs(visitors["cell"]), vb.longs(homes["cell"])
-        vm, hm = vb.matrix(visitors["embedding"]), vb.matrix(homes["embedding"])
-        for lo in range(0, len(va), _CHUNK):
-            scores = np.round(vm[lo:lo + _CHUNK] @ hm.T, 12)  # copies of a vector tie
-            i, j = np.nonzero(scores > threshold)
-            within = vc[lo + i] == hc[j]
-            keep = ~within | (va[lo + i] < ha[j])
-            i, j = i[keep], j[keep]
-            x, y = va[lo + i], ha[j]
-            a_out.append(np.minimum(x, y))
-            b_out.append(np.maximum(x, y))
-            s_out.append(scores[i, j])
-    return pa.table({
-        "a_id": np.concatenate(a_out) if a_out else np.zeros(0, np.int64),
-        "b_id": np.concatenate(b_out) if b_out else np.zeros(0, np.int64),
-        "score": np.concatenate(s_out) if s_out else np.zeros(0)})
+    homes, tree = ball_tree.build(vectors, block_rows)
+    rank = np.full(len(tree.pivots), -1)
+    rank[tree.leaves] = np.arange(len(tree.leaves))
+
+    def can_hold_partner(batch, least, most, angles, t):
+        # Pairs between two leaves are found from the lower-numbered one.
+        own = rank[batch["cell"].to_numpy(zero_copy_only=False)]
+        return (own[:, None] <= np.arange(len(t.leaves))) & (most > threshold), {}
+
+    def kernel(visitors: pa.RecordBatch, table: pa.Table, hm: np.ndarray):
+        va, ha = vb.longs(visitors["id"]), vb.longs(table["id"])
+        scores = np.round(vb.matrix(visitors["embedding"]) @ hm.T, 12)  # copies of a vector tie
+        i, j = np.nonzero(scores > threshold)
+        within = vb.longs(visitors["cell"])[i] == vb.longs(table["cell"])[j]
+        keep = ~within | (va[i] < ha[j])
+        i, j = i[keep], j[keep]
+        yield pa.record_batch({"a_id": np.minimum(va[i], ha[j]), "b_id": np.maximum(va[i], ha[j]),
+                               "score": scores[i, j]})
+
+    routed = reliable_checkpoint(ball_tree.routes(tree, homes, can_hold_partner))
+    return ball_tree.visit(tree, homes, routed, kernel, PAIR_SCHEMA, _tile(tree))
+
+
+def _tile(tree: ball_tree.Tree) -> int:
+    return ball_tree.tile_rows(tree.pivots.shape[1])
 
 
 def _pairs_against_held(vectors: DataFrame, held: vb.Held, threshold: float) -> DataFrame:
@@ -210,50 +200,61 @@ def _emit(q_ids: np.ndarray, best: tuple) -> Iterator[pa.RecordBatch]:
 
 
 def _knn_blocks(corpus, queries, k, exclude_self, penalty, block_rows):
-    """Both sides large.  Each query bounds its k-th best score from the cell
-    figures alone, then visits only the cells that can beat it."""
+    """Both sides large.  A query first visits the leaf it is nearest to; the k-th best score there, or
+    what the leaves' own bounds guarantee, then says which other leaves can still rank."""
     want = k + 1 if exclude_self else k
-
-    def kernel(visitors: pa.Table, homes: pa.Table) -> pa.Table:
-        q_ids, c_ids = vb.longs(visitors["id"]), vb.longs(homes["id"])
-        parts = []
-        if len(q_ids) and len(c_ids):
-            qm, cm = vb.matrix(visitors["embedding"]), vb.matrix(homes["embedding"])
-            off = vb.doubles(homes[penalty]) if penalty else None
-            for lo in range(0, len(q_ids), _CHUNK):
-                scores = np.round(qm[lo:lo + _CHUNK] @ cm.T, 12)  # copies of a vector tie
-                if off is not None:
-                    scores = scores - off[None, :]
-                if exclude_self:
-                    _mask_self(scores, q_ids[lo:lo + _CHUNK], c_ids)
-                parts += list(_emit(q_ids[lo:lo + _CHUNK], best_columns(scores, c_ids, k)))
-        empty = pa.record_batch({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64),
-                                 "score": np.zeros(0)})
-        return pa.Table.from_batches(parts or [empty])
+    homes, tree = ball_tree.build(corpus, block_rows, penalty)
+
+    def kernel(visitors: pa.RecordBatch, table: pa.Table, hm: np.ndarray):
+        q_ids, c_ids = vb.longs(visitors["id"]), vb.longs(table["id"])
+        scores = np.round(vb.matrix(visitors["embedding"]) @ hm.T, 12)  # copies of a vector tie
+        off = ball_tree.offsets_of(table, penalty)
+        if off is not None:
+            scores = scores - off[None, :]
+        if exclude_self:
+            _mask_self(scores, q_ids, c_ids)
+        yield from _emit(q_ids, best_columns(scores, c_ids, k))
+
+    def nearest(batch, least, most, angles, t):
+        named = np.zeros(angles.shape, bool)
+        if len(t.leaves):
+            # With penalties the best promise, not the angle, tells where good scores are.
+            home = most.argmax(axis=1) if penalty else angles.argmin(axis=1)
+            named[np.arange(len(named)), home] = True
+            guaranteed = _guaranteed(least, t.rows[t.leaves], want)
+        else:
+            home, guaranteed = np.zeros(len(named), np.int64), np.full(len(named), -np.inf)
+        return named, {"seen": home.astype(np.int32), "floor": guaranteed}
 
     asked = queries.withColumnRenamed("query_id", "id")
-    if penalty:
-        # A penalty is no metric, so no block can be ruled out.
-        return vb.grid_join(asked, corpus, kernel, HIT_SCHEMA, block_rows)
-
-    celled, cells = vb.make_cells(corpus, corpus.count(), block_rows, keep=want)
-
-    def can_rank(batch, ang, c):
-        allowed = np.zeros(ang.shape, bool)
-        width = c.nearest.shape[1]
-        step = max(1, (1 << 22) // max(1, c.nearest.size))
-        for lo in range(0, len(ang), step):
-            part = ang[lo:lo + step]
-            upper = (part[:, :, None] + c.nearest[None, :, :]).reshape(len(part), -1)
-            if upper.shape[1] >= want and width:
-                radius = np.partition(upper, want - 1, axis=1)[:, want - 1]
-            else:
-                radius = np.full(len(part), np.inf)
-            allowed[lo:lo + step] = (
-                part - c.reach[None, :] <= radius[:, None] + vb.ANGLE_SLACK)
-        return allowed
-
-    return vb.visit(asked, celled.drop("angle"), cells, can_rank, kernel, HIT_SCHEMA, block_rows)
+    first = reliable_checkpoint(ball_tree.routes(tree, asked, nearest, ", seen int, floor double"))
+    hits = reliable_checkpoint(ball_tree.visit(tree, homes, first.drop("seen", "floor"), kernel, HIT_SCHEMA, _tile(tree)))
+
+    def can_rank(batch, least, most, angles, t):
+        floor = vb.doubles(batch["floor"])
+        named = most >= floor[:, None]
+        named[np.arange(len(named)), vb.longs(batch["seen"])] = False
+        return named, {}
+
+    # With k hits or more, the k-th is a floor (ties of it may still rank by id).
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    kth = hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") == k).select(
+        F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    onward = first.drop("targets").join(kth, "id", "left").withColumn(
+        "floor", F.greatest("floor", F.coalesce("kth", F.lit(float("-inf"))))).drop("kth")
+    if len(tree.leaves) < 2:
+        return hits
+    routed = reliable_checkpoint(ball_tree.routes(tree, onward, can_rank).drop("seen", "floor"))
+    return hits.unionByName(ball_tree.visit(tree, homes, routed, kernel, HIT_SCHEMA, _tile(tree)))
+
+
+def _guaranteed(least: np.ndarray, rows: np.ndarray, want: int) -> np.ndarray:
+    """The score that ``want`` rows are sure to reach, from the leaves' least scores and sizes alone."""
+    order = np.argsort(-least, axis=1)
+    enough = np.cumsum(rows[order], axis=1) >= want
+    at = np.argmax(enough, axis=1)
+    who = np.arange(len(least))
+    return np.where(enough.any(axis=1), least[who, order[who, at]], -np.inf)
 
 
 def similar_to(vectors: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
@@ -286,12 +287,12 @@ def exact_ranks(
     held = vb.hold_if_small(queries, "query_id", "embedding", ["own"], max_bytes=max_bytes)
 
     def above(qm, own, cm, off):
-        out = np.zeros(len(qm), np.int64)
+        out, own = np.zeros(len(qm), np.int64), np.round(own, 12)  # copies of the target tie with it
         for lo in range(0, len(qm), _CHUNK):
-            scores = np.round(qm[lo:lo + _CHUNK] @ cm.T, 12)  # copies of a vector tie
+            scores = qm[lo:lo + _CHUNK] @ cm.T
             if off is not None:
                 scores = scores - off[None, :]
-            out[lo:lo + _CHUNK] = (scores > own[lo:lo + _CHUNK, None] + 1e-12).sum(axis=1)
+            out[lo:lo + _CHUNK] = (np.round(scores, 12) > own[lo:lo + _CHUNK, None]).sum(axis=1)
         return out
 
     if held is not None:
@@ -308,17 +309,23 @@ def exact_ranks(
 
         parts = spread(corpus).mapInArrow(run, schema)
     else:
-        def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"query_id": vb.longs(left["id"]),
-                                 "above": np.zeros(left.num_rows, np.int64)})
-            off = vb.doubles(right[penalty]) if penalty else None
-            return pa.table({"query_id": vb.longs(left["id"]), "above": above(
-                vb.matrix(left["embedding"]), vb.doubles(left["own"]),
-                vb.matrix(right["embedding"]), off)})
-
-        parts = vb.grid_join(queries.withColumnRenamed("query_id", "id"), corpus, kernel,
-                             schema, block_rows)
+        homes, tree = ball_tree.build(corpus, block_rows, penalty)
+
+        def undecided(batch, least, most, angles, t):
+            # A leaf wholly above counts by its size, one wholly below not at all.
+            mine = vb.doubles(batch["own"])[:, None]
+            over = least > mine
+            return ~over & (most > mine), {"sure": over.astype(np.int64) @ t.rows[t.leaves]}
+
+        def kernel(visitors: pa.RecordBatch, table: pa.Table, hm: np.ndarray):
+            yield pa.record_batch({"query_id": vb.longs(visitors["id"]), "above": above(
+                vb.matrix(visitors["embedding"]), vb.doubles(visitors["own"]), hm,
+                ball_tree.offsets_of(table, penalty))})
+
+        routed = reliable_checkpoint(ball_tree.routes(
+            tree, queries.withColumnRenamed("query_id", "id"), undecided, ", sure long"))
+        parts = ball_tree.visit(tree, homes, routed.drop("sure"), kernel, schema, _tile(tree)).unionByName(
+            routed.select(F.col("id").alias("query_id"), F.col("sure").alias("above")))
     return parts.groupBy("query_id").agg(F.sum("above").alias("rank0"))
 
 

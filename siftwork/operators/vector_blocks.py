@@ -2,9 +2,7 @@
 
 Two tables are scored against each other in blocks of bounded size: each task
 multiplies one block of targets by one block of visitors and emits only what
-its kernel keeps.  Cells around pivot vectors say which blocks can matter, so
-that a threshold or a top-k skips the rest without losing a result: for unit
-vectors, the angle is a metric and the triangle inequality bounds it.
+its kernel keeps.  Where bounds can rule blocks out, ``ball_tree`` does so.
 
 A side small enough to hold in every executor skips all that and is broadcast;
 its size is read first, never assumed.
@@ -12,7 +10,7 @@ its size is read first, never assumed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,18 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A side is broadcast up to this many bytes of double vectors.
 BROADCAST_BYTES = 64 << 20
 # Rows of one side in one task of a block join.
 BLOCK_ROWS = 2048
-# Pivots, and with them the per-cell figures the driver sees, stay under this.
-MAX_PIVOTS = 512
 # Rows of the first, size-finding read of a side.
 _FIRST_READ = 1024
-# Slack on angles, far above the rounding of a double dot product.
-ANGLE_SLACK = 1e-6
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
@@ -119,10 +112,6 @@ def _side(df: DataFrame, side: int) -> DataFrame:
     return df.withColumn("side", F.lit(side))
 
 
-def _with(schema: T.StructType, more: str) -> T.StructType:
-    return T.StructType(schema.fields + T.StructType.fromDDL(more).fields)
-
-
 def _block(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
@@ -132,110 +121,3 @@ def _two_sided(kernel: Kernel):
         side = longs(table["side"])
         return kernel(table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)))
     return run
-
-
-# ------------------------------------------------------------------ pivot cells
-
-@dataclass(frozen=True)
-class Cells:
-    """Pivots with the reach and the size of the cell around each."""
-
-    pivots: np.ndarray
-    rows: np.ndarray
-    reach: np.ndarray
-    nearest: np.ndarray  # per cell, the smallest angles to its pivot (padded with inf)
-
-    def blocks(self, block_rows: int) -> np.ndarray:
-        return np.maximum(1, -(-self.rows // block_rows)).astype(np.int64)
-
-
-def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
-
-
-def make_cells(df: DataFrame, n_rows: int, block_rows: int, keep: int = 0) -> tuple[DataFrame, Cells]:
-    """Assign each vector its nearest pivot: ``df`` + ``cell, angle``.
-
-    Pivots are a hash draw of the rows themselves, so every run and every
-    retried task sees the same ones.  What reaches the driver is one row per
-    cell, plus ``keep`` smallest angles per cell when a top-k needs them.
-    """
-    n_pivots = int(min(MAX_PIVOTS, max(1, -(-n_rows // block_rows))))
-    drawn = df.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toArrow()
-    pivots = np.unique(matrix(drawn["embedding"]), axis=0)
-    handle = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = angles(matrix(batch["embedding"]), handle.value)
-            cell = a.argmin(axis=1)
-            yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column(
-                "angle", pa.array(a[np.arange(len(cell)), cell]))
-
-    schema = _with(df.schema, "cell int, angle double")
-    celled = df.mapInArrow(assign, schema)
-
-    rows = np.zeros(len(pivots), np.int64)
-    reach = np.zeros(len(pivots))
-    nearest = np.full((len(pivots), max(1, keep)), np.inf)
-    for r in celled.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("angle").alias("reach")).collect():
-        rows[r["cell"]], reach[r["cell"]] = r["n"], r["reach"]
-    if keep:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("cell").orderBy("angle", "id")
-        best = celled.select("cell", "angle", F.row_number().over(order).alias("pos"))
-        for r in best.where(F.col("pos") <= keep).collect():
-            nearest[r["cell"], r["pos"] - 1] = r["angle"]
-    return celled, Cells(pivots, rows, reach, nearest)
-
-
-def visit(
-    visitors: DataFrame, homes: DataFrame, cells: Cells, target_rule, kernel: Kernel,
-    schema: str, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Send each visitor to the cells its rule names and run the kernel there.
-
-    ``homes`` carries ``cell``; ``target_rule(batch, angles)`` returns a boolean
-    matrix, visitor by cell.  A crowded cell is cut into blocks by a hash of the
-    id, and so is a crowd of visitors: a task holds one block of either.
-    """
-    spark = homes.sparkSession
-    handle = spark.sparkContext.broadcast(cells)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = handle.value
-            allowed = target_rule(batch, angles(matrix(batch["embedding"]), c.pivots), c)
-            allowed &= (c.rows > 0)[None, :]
-            who, cell = np.nonzero(allowed)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(batch)))])
-            targets = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(cell, pa.int32()))
-            yield batch.append_column("targets", targets)
-
-    routed = visitors.mapInArrow(route, _with(visitors.schema, "targets array<int>"))
-    crowd = dict(
-        (r["target"], r["n"]) for r in routed.select(F.explode("targets").alias("target"))
-        .groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect())
-
-    home_blocks = cells.blocks(block_rows)
-    plan = [(int(c), int(home_blocks[c]), max(1, -(-crowd[c] // block_rows)))
-            for c in range(len(cells.rows)) if cells.rows[c] and c in crowd]
-    cell_plan = spark.createDataFrame(plan, "target int, home_n int, crowd_n int")
-
-    spread = (
-        routed.withColumn("target", F.explode("targets")).drop("targets")
-        .join(F.broadcast(cell_plan), "target")  # one row per pivot, at most MAX_PIVOTS
-        .withColumn("crowd_b", F.pmod(F.xxhash64("id"), F.col("crowd_n")).cast("int"))
-        .withColumn("home_b", F.explode(F.sequence(F.lit(0), F.col("home_n") - 1)))
-        .drop("home_n", "crowd_n"))
-    at_home = (
-        homes.withColumn("target", F.col("cell"))
-        .join(F.broadcast(cell_plan), "target")
-        .withColumn("home_b", F.pmod(F.xxhash64("id"), F.col("home_n")).cast("int"))
-        .withColumn("crowd_b", F.explode(F.sequence(F.lit(0), F.col("crowd_n") - 1)))
-        .drop("home_n", "crowd_n"))
-    both = _side(spread, 0).unionByName(_side(at_home, 1), allowMissingColumns=True)
-    return both.groupBy("target", "home_b", "crowd_b").applyInArrow(_two_sided(kernel), schema)

@@ -313,7 +313,7 @@ def rerank_by_axis(spark, sf):
     kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best),
     sc AS (SELECT query_id, target, x.id, list_dot_product(ask.v, x.v) AS score FROM ask, vecs x),
     sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc),
-    srank AS (SELECT s.query_id, count(*) FILTER (s.score > t.score + 1e-12) AS r FROM sc s
+    srank AS (SELECT s.query_id, count(*) FILTER (round(s.score, 12) > round(t.score, 12)) AS r FROM sc s
               JOIN sc t ON t.query_id = s.query_id AND t.id = t.target GROUP BY s.query_id),
     krank AS (SELECT ask.query_id, coalesce(any_value(kw.rank) - 1, 11) AS r FROM ask
               LEFT JOIN kw ON kw.query_id = ask.query_id AND kw.id = target AND kw.rank <= 10 GROUP BY ALL),

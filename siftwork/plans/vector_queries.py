@@ -13,7 +13,8 @@ from siftwork.operators import signals, similarity
 from siftwork.operators.selection import Selection
 from siftwork.plans import bindings as b
 from siftwork.plans.bindings import sql
-from siftwork.plans.registry import query, r6
+from siftwork.plans.registry import ORACLES, query, r6
+from siftwork.session import reliable_checkpoint
 from siftwork.sources import builds
 
 # Thresholds fit for nearly orthogonal vectors; the library default starts at 0.85.
@@ -76,6 +77,38 @@ def pairs_above(spark, sf):
     return similarity.pairs_above(b.vectors(spark, sf), LINE).withColumn("score", r6("score"))
 
 
+#: Both sides too large to hold, in cells of few rows: what a table of any size goes through.
+LARGE = {"max_bytes": 1 << 12, "block_rows": 64}
+COPIES = """
+    , more AS (SELECT id, v FROM vecs UNION ALL SELECT id + 1000000, v FROM vecs WHERE id % 3 = 0
+        UNION ALL SELECT 2000000 + i, v FROM vecs, range(150) t(i) WHERE id = 7),
+    met AS (SELECT a.id AS a_id, b.id AS b_id, list_dot_product(a.v, b.v) AS score FROM more a, more b)"""
+
+
+def _with_copies(spark, sf):
+    """The vectors, a third of them twice, and one 150 times more."""
+    v = b.vectors(spark, sf)
+    twice = v.where("id % 3 = 0").withColumn("id", F.col("id") + 1_000_000)
+    often = v.where("id = 7").withColumn("id", F.explode(F.expr("sequence(2000000L, 2000149L)")))
+    return v.unionByName(twice).unionByName(often)
+
+
+@query("knn_large", _join(COPIES + """
+    , r AS (SELECT a_id AS query_id, b_id AS id, score, row_number() OVER (
+        PARTITION BY a_id ORDER BY round(score, 12) DESC, b_id) AS rank FROM met WHERE a_id <> b_id)
+    SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""", "vecs"))
+def knn_large(spark, sf):
+    v = _with_copies(spark, sf)
+    got = similarity.knn(v, v.withColumnRenamed("id", "query_id"), 5, exclude_self=True, **LARGE)
+    return got.withColumn("score", r6("score"))
+
+
+@query("pairs_large", _join(COPIES + f"""
+    SELECT a_id, b_id, round(score, 6) AS score FROM met WHERE a_id < b_id AND score > {LINE}""", "vecs"))
+def pairs_large(spark, sf):
+    return similarity.pairs_above(_with_copies(spark, sf), LINE, **LARGE).withColumn("score", r6("score"))
+
+
 @query("strongest_pairs", _join(f"""
     SELECT a_id, b_id, round(score, 6) AS score FROM sims WHERE a_id < b_id AND score > {LINE}
     ORDER BY score DESC, a_id, b_id LIMIT 200""", "vecs", "sims"))
@@ -353,6 +386,15 @@ def adjusted_rank(spark, sf):
     return got.withColumn("score", r6("score"))
 
 
+@query("adjusted_rank_large", ORACLES["adjusted_rank"])
+def adjusted_rank_large(spark, sf):
+    """As adjusted_rank, with neither side held."""
+    v = b.vectors(spark, sf)
+    penalty = reliable_checkpoint(hubness.scaled_penalty(hubness.hubness_penalty(v, _bank(spark, sf))))
+    got = similarity.knn(v.join(penalty, "id"), v.withColumnRenamed("id", "query_id"), 10, penalty="penalty", **LARGE)
+    return got.withColumn("score", r6("score"))
+
+
 @query("bank_captions", _join("""
     , usable AS (SELECT c.id, c.sample_id FROM line_captions c JOIN embeddings e ON e.vec_id = c.sample_id),
     n AS (SELECT count(*) AS n, CASE WHEN count(*) >= 1000 THEN least(3000, count(*) // 4) ELSE 0 END AS take FROM usable)
@@ -658,7 +700,7 @@ def describe_guard(spark, sf):
 EVAL = """
     , own AS (SELECT x.id, x.label, x.v, arg_min(y.id, y.id) AS target FROM vecs x
               JOIN vecs y ON y.label = x.label AND y.id <> x.id GROUP BY ALL),
-    ranks AS (SELECT o.id AS query_id, count(*) FILTER (s.score > t.score + 1e-12) AS rank0
+    ranks AS (SELECT o.id AS query_id, count(*) FILTER (round(s.score, 12) > round(t.score, 12)) AS rank0
               FROM own o JOIN sims t ON t.a_id = o.id AND t.b_id = o.target
               JOIN sims s ON s.a_id = o.id GROUP BY o.id)
 """
@@ -681,6 +723,12 @@ def eval_ranks(spark, sf):
     return ev.semantic_ranks(_eval_queries(spark, sf), b.vectors(spark, sf))
 
 
+@query("eval_ranks_large", _join(EVAL + "SELECT * FROM ranks", "vecs", "sims"))
+def eval_ranks_large(spark, sf):
+    """As eval_ranks, with neither side held."""
+    return ev.semantic_ranks(_eval_queries(spark, sf), b.vectors(spark, sf), **LARGE)
+
+
 @query("eval_metrics", _join(EVAL + """
     SELECT 'semantic' AS mode, count(*) AS queries, round(avg((rank0 < 1)::INT), 6) AS recall_at_1,
            round(avg((rank0 < 5)::INT), 6) AS recall_at_5, round(avg((rank0 < 10)::INT), 6) AS recall_at_10,

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import unit
-from siftwork.operators import albums, composed, hubness, leakage, signals, similarity
+from siftwork.operators import albums, ball_tree, composed, hubness, leakage, signals, similarity
 from siftwork.operators import vector_blocks as vb
 
 # The second setting leaves no side small enough to hold, so blocks must join.
@@ -89,6 +89,81 @@ def test_exact_ranks(planted, way):
     assert got == {i * 10: int((s[i] > s[i, (i + 1) % 240] + 1e-12).sum()) for i in range(240)}
 
 
+# ----------------------------------------------------------------------- ball tree
+
+@pytest.fixture(scope="module")
+def islands(spark):
+    """Twelve tight clusters, one direction 200 times, vectors of other lengths, and zeros."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(12)
+    m = centres[np.arange(600) % 12] + rng.normal(scale=0.02, size=(600, 12))
+    m = np.concatenate([m, np.tile(m[:1], (200, 1)), 3 * m[1:30], np.zeros((5, 12))])
+    return frame(spark, [(i, v.tolist()) for i, v in enumerate(m)]).repartition(4).cache(), m.astype(np.float32).astype(float)
+
+
+def test_tree_splits_until_leaves_fit(islands):
+    df, m = islands
+    homes, tree = ball_tree.build(df, 40)
+    sizes = {r.cell: r["count"] for r in homes.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == len(m) and set(sizes) == set(tree.leaves.tolist())
+    assert all(n <= 40 or tree.reach[c] <= np.pi for c, n in sizes.items())
+    assert sum(n > 40 for n in sizes.values()) <= 2  # the copies, and what lies with them
+    # Bounds hold for every query and every row.
+    ids = {r.id: r.cell for r in homes.select("id", "cell").collect()}
+    least, most, _ = tree.bounds(m)
+    at = {c: i for i, c in enumerate(tree.leaves.tolist())}
+    column = np.array([at[ids[i]] for i in range(len(m))])
+    scores = m @ m.T
+    assert np.all(scores <= most[:, column]) and np.all(scores >= least[:, column])
+
+
+def test_tree_stops_at_its_budget(islands):
+    _, tree = ball_tree.build(islands[0], 5, tree_bytes=8 * 12 * 70)
+    assert len(tree.pivots) <= 70
+
+
+def test_visits_leave_homes_in_one_copy_and_skip_leaves(islands, monkeypatch):
+    df, m = islands
+    asked = {}
+    visit = ball_tree.visit
+
+    def counted(tree, homes, routed, kernel, schema, rows):
+        n = routed.agg(F.sum(F.size("targets"))).first()[0]
+        asked.setdefault("share", []).append(n / (routed.count() * len(tree.leaves)))
+
+        def copies(visitors, table, held):
+            ids = vb.longs(table["id"])
+            assert len(set(ids.tolist())) == len(ids) and len(ids) <= tree.rows.max()
+            yield from kernel(visitors, table, held)
+        return visit(tree, homes, routed, copies, schema, rows)
+    monkeypatch.setattr(ball_tree, "visit", counted)
+    got = similarity.knn(df, df.withColumnRenamed("id", "query_id"), 3, max_bytes=8, block_rows=40).toPandas()
+    want = -np.sort(-(m @ m.T), axis=1)[:, :3]
+    assert np.abs(got.sort_values(["query_id", "rank"]).score.to_numpy().reshape(-1, 3) - want).max() < 1e-9
+    assert sum(asked["share"]) < 0.6  # of all leaves, in both visits
+
+
+@pytest.mark.parametrize("penalised", [False, True])
+def test_ranks_count_whole_leaves(islands, penalised):
+    df, m = islands
+    off = np.where(np.arange(len(m)) % 50 == 0, np.nan, np.arange(len(m)) % 7 / 10) if penalised else np.zeros(len(m))
+    corpus = df.withColumn("penalty", F.when(F.lit(penalised) & (F.col("id") % 50 == 0), float("nan")).otherwise(
+        (F.col("id") % 7 / 10) if penalised else F.lit(0.0)))
+    s = np.round(m @ m.T - off[None, :], 12)
+    own = np.where(np.isnan(s[np.arange(len(m)), (np.arange(len(m)) + 12) % len(m)]), 0.5, s[np.arange(len(m)), (np.arange(len(m)) + 12) % len(m)])
+    asked = df.sparkSession.createDataFrame([(i, m[i].tolist(), float(own[i])) for i in range(len(m))],
+                                            "query_id long, embedding array<double>, own double")
+    got = {r.query_id: r.rank0 for r in similarity.exact_ranks(corpus, asked, "penalty", max_bytes=8, block_rows=40).collect()}
+    assert got == {i: int((s[i] > np.round(own[i], 12)).sum()) for i in range(len(m))}
+
+
+def test_trees_of_nothing(spark):
+    none = frame(spark, [])
+    some = frame(spark, [(1, vec(1, 0))]).withColumnRenamed("id", "query_id")
+    assert similarity._knn_blocks(none, some, 2, False, None, 4).count() == 0
+    assert similarity.pairs_above(none, 0.5, max_bytes=8).count() == 0
+
+
 def test_isolation_of_tiny_sets(spark):
     one = frame(spark, [(1, vec(1, 0))])
     assert similarity.isolation(one).count() == 0
