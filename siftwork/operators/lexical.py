@@ -136,29 +136,32 @@ def bm25_captions(
     lengths = spread(captions.select("text")).agg(
         F.struct(F.count(F.lit(1)).alias("n"),
                  F.avg(F.size(tx.index_tokens(F.col("text")))).alias("mean")).alias("s"))
-    matched = conjunctive_matches(queries, phrases, hits, exclude)
+    matched = conjunctive_matches(queries, phrases, hits, exclude).withColumn("_s", lengths.scalar())
+    return scored(matched, F.col("_s.n"), F.col("_s.mean"), allowed)
+
+
+def scored(matched: DataFrame, n: Column, mean: Column, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, caption_id, sample_id, score`` of captions matched by all of a query's phrases: one row
+    for each with ``times, df, tf, length, n_terms``; ``n`` captions of ``mean`` length in the corpus."""
     if allowed is not None:
-        matched = matched.join(allowed.select(F.col("id").alias("sample_id")),
-                               "sample_id", "left_semi")
-    matched = matched.withColumn("_s", lengths.scalar())
-    n, mean = F.col("_s.n"), F.col("_s.mean")
-    scored = matched.withColumn("part", F.col("times") * _weight(n, F.col("df"))
-                                * _saturation(F.col("tf"), F.col("length"), mean))
+        matched = matched.join(allowed.select(F.col("id").alias("sample_id")), "sample_id", "left_semi")
+    parts = matched.withColumn("part", F.col("times") * weight(n, F.col("df"))
+                               * saturation(F.col("tf"), F.col("length"), mean))
     # Rounded, so that copies of one text tie whatever the order of the sum.
     return (
-        scored.groupBy("query_id", "caption_id", "sample_id")
+        parts.groupBy("query_id", "caption_id", "sample_id")
         .agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("k"),
              F.first("n_terms").alias("n_terms"))
         .where(F.col("k") == F.col("n_terms"))
         .select("query_id", "caption_id", "sample_id", "score"))
 
 
-def _weight(n: Column, df: Column) -> Column:
+def weight(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
 
 
-def _saturation(tf: Column, length: Column, mean: Column) -> Column:
+def saturation(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 

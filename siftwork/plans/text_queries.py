@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
-from siftwork.operators import axes, evaluation, fusion, lexical, listing
+from siftwork.operators import axes, evaluation, fusion, lexical, listing, postings
 from siftwork.operators.similarity import isolation, knn
 from siftwork.operators.selection import Selection
 from siftwork.plans import bindings as b
 from siftwork.plans import search as sp
 from siftwork.plans.bindings import sql
 from siftwork.plans.corpus_queries import STOP_SQL
-from siftwork.plans.registry import query, r6
+from siftwork.plans.registry import ORACLES, query, r6
 from siftwork.plans.vector_queries import _join
+from siftwork.session import scratch
 
 TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 BARE = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
@@ -103,6 +104,16 @@ def bm25_and(spark, sf):
     return got.withColumn("score", r6("score"))
 
 
+@query("bm25_from_postings", ORACLES["bm25_and"])
+def bm25_from_postings(spark, sf):
+    """A third of the captions is indexed, the others are appended in two turns."""
+    caps, path = b.line_captions(spark, sf), scratch(spark)
+    for part in range(3):
+        index = postings.append(caps.where(F.pmod("sample_id", F.lit(3)) == part), path)
+    got = postings.bm25_captions(index, b.page_queries(spark, sf))
+    return got.withColumn("score", r6("score"))
+
+
 @query("bm25_documents", _join(
     lexical_sql("(SELECT doc_id AS id, doc_id AS sample_id, text FROM documents)") + """
     SELECT query_id, caption_id, sample_id, round(score, 6) AS score FROM bm""", "queries"))
@@ -121,6 +132,14 @@ def keyword_samples(spark, sf):
     return got.select("query_id", "id", "rank")
 
 
+@query("keyword_from_postings", _join(KEYWORD + """
+    SELECT query_id, id, CAST(rank AS INT) AS rank FROM kw WHERE rank <= 20""", "line_captions", "queries"))
+def keyword_from_postings(spark, sf):
+    """The best twenty, cut by block bounds."""
+    index = postings.build(b.line_captions(spark, sf), scratch(spark))
+    return postings.keyword_ranking(index, b.page_queries(spark, sf), 20).select("query_id", "id", "rank")
+
+
 @query("keyword_filtered", _join(KEYWORD + """
     , fil AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
               FROM kw JOIN samples s USING (id) WHERE s.split = 'train')
@@ -255,6 +274,15 @@ def hybrid_rrf(spark, sf):
                       F.round("score", 9).alias("score"), "rank")
 
 
+@query("hybrid_from_postings", ORACLES["hybrid_rrf"])
+def hybrid_from_postings(spark, sf):
+    """hybrid_rrf with its keyword lane from the posting table."""
+    index = postings.build(b.line_captions(spark, sf), scratch(spark))
+    keyword = postings.keyword_ranking(index, b.page_queries(spark, sf), 300)
+    got = fusion.reciprocal_rank_fusion(_lanes(spark, sf)[0], keyword, depth=300)
+    return got.select("query_id", "id", "semantic_rank", "keyword_rank", F.round("score", 9).alias("score"), "rank")
+
+
 @query("match_paths", _join(HYBRID + """
     SELECT query_id, id, array_to_string(list_filter([
         CASE WHEN keyword_rank IS NOT NULL THEN 'keyword:' || keyword_rank END,
