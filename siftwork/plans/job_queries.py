@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators import details
@@ -60,6 +61,53 @@ def build_read_back(spark, sf):
     return one.unionByName(other)
 
 
+def _served(spark, step: str, found: dict) -> DataFrame:
+    """What a reader finds: the number of tables, and of vectors and their ids."""
+    vectors = found["vectors"] if found else spark.createDataFrame([], "id long")
+    return vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("total")).select(
+        F.lit(step).alias("step"), F.lit(len(found)).alias("tables"), "n", "total")
+
+
+@query("build_after_ingest", """
+    SELECT '1 built' AS step, 2 AS tables, count(*) AS n, sum(vec_id) AS total FROM embeddings WHERE vec_id % 4 > 0
+    UNION ALL SELECT '2 ingested', 0, 0, 0
+    UNION ALL SELECT '3 built again', 2, count(*), sum(vec_id) FROM embeddings""")
+def build_after_ingest(spark, sf):
+    """Rows that arrive put the build out of force until the next one."""
+    root = scratch(spark)
+    vectors = b.vectors(spark, sf)
+    captions = b.table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "text")
+    old = vectors.where("id % 4 > 0")
+    before, after = (builds.corpus_mark(vectors=v, captions=captions) for v in (old, vectors))
+    builds.commit(spark, root, {"vectors": old, "captions": captions}, "first", corpus=before)
+    first = _served(spark, "1 built", builds.current_build(spark, root, before))
+    stale = _served(spark, "2 ingested", builds.current_build(spark, root, after))
+    builds.commit(spark, root, {"vectors": vectors, "captions": captions}, "second", corpus=after)
+    return first.unionByName(stale).unionByName(
+        _served(spark, "3 built again", builds.current_build(spark, root, after)))
+
+
+@query("build_race", """
+    SELECT '1 in force' AS step, 1 AS tables, count(*) AS n, sum(vec_id) AS total FROM embeddings WHERE vec_id % 3 = 1
+    UNION ALL SELECT '2 refused', 1, 0, 0
+    UNION ALL SELECT '3 next', 1, count(*), sum(vec_id) FROM embeddings""")
+def build_race(spark, sf):
+    """Two writers start from one build; the one that is late is refused, and the next starts from the winner."""
+    root, vectors = scratch(spark), b.vectors(spark, sf)
+    base = builds.commit(spark, root, {"vectors": vectors.where("id % 3 = 0")}, "base")
+    builds.commit(spark, root, {"vectors": vectors.where("id % 3 = 1")}, "quick", replaces=base)
+    refused = 0
+    try:
+        builds.commit(spark, root, {"vectors": vectors.where("id % 3 = 2")}, "late", replaces=base)
+    except builds.Superseded:
+        refused = 1
+    won = _served(spark, "1 in force", builds.current_build(spark, root))
+    builds.commit(spark, root, {"vectors": vectors}, "next")
+    late = spark.range(1).select(F.lit("2 refused").alias("step"), F.lit(refused).alias("tables"),
+                                 F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"))
+    return won.unionByName(late).unionByName(_served(spark, "3 next", builds.current_build(spark, root)))
+
+
 @query("stream_ingest", """
     SELECT DISTINCT lang || '/' || (doc_id // 3) AS filename FROM documents""")
 def stream_ingest(spark, sf):

@@ -77,6 +77,23 @@ def test_encoder_contract_and_build(spark, tmp_path):
     assert builds.current_build(spark, root)["vectors"].count() == 3
 
 
+def test_chain_of_builds(spark, tmp_path):
+    root = str(tmp_path / "chain")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    assert builds.head(spark, root) is None and builds.current_build(spark, root) == {}
+    mark, other = builds.corpus_mark(samples=v), builds.corpus_mark(samples=v.where("id = 1"))
+    one = builds.commit(spark, root, {"vectors": v}, "one", corpus=mark)
+    assert builds.current_build(spark, root, mark) and builds.current_build(spark, root, other) == {}
+    two = builds.commit(spark, root, {"vectors": v.where("id = 1")}, "two", replaces=one, corpus=other)
+    with pytest.raises(builds.Superseded):
+        builds.commit(spark, root, {"vectors": v}, "rival", replaces=one, corpus=mark)
+    with pytest.raises(builds.Superseded):
+        builds.commit(spark, root, {"vectors": v}, "orphan", replaces="no such version")
+    assert builds.head(spark, root) == two
+    assert builds.current_build(spark, root, other)["vectors"].count() == 1
+    assert builds.current_build(spark, root, mark) == {}
+
+
 def test_fingerprint_ignores_order_only(spark):
     df = spark.range(50).selectExpr("id", "id * 2 AS v")
     same = builds.fingerprint(df.orderBy(F.col("id").desc())).first()
