@@ -256,3 +256,26 @@ def test_no_items_and_no_documents(spark, docs_of):
     assert decontamination.contamination(docs_of([]), some).count() == 0
     kept = decontamination.decontaminate(docs, some)
     assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == ["", "x"]
+
+
+def test_alike_sets_share_what_is_needed():
+    """The count filter loses no pair: any two sets of similarity 0.8 share that many of their first fifths."""
+    import numpy as np
+    draw = np.random.default_rng(5)
+    tight = 0
+    for _ in range(4000):
+        n = int(draw.integers(1, 80))
+        base = draw.permutation(400)[:n]
+        own = [draw.integers(400, 800, draw.integers(0, n // 8 + 2)) if draw.random() < .5 else
+               draw.integers(-400, 0, draw.integers(0, n // 8 + 2)) for _ in range(2)]
+        cut = [base[draw.random(n) > draw.random() / 8] if draw.random() < .5 else np.sort(base)[draw.integers(0, n // 8 + 1):]
+               for _ in range(2)]
+        x, y = (np.unique(np.concatenate(z)) for z in zip(cut, own, strict=True))
+        both = len(np.intersect1d(x, y))
+        if not (len(x) and len(y)) or not near_copies.alike(len(x), len(y), both):
+            continue
+        met = np.intersect1d(x[:near_copies._fifth(len(x))], y[:near_copies._fifth(len(y))])
+        needed = int(near_copies._needed(np.array([len(x)]), np.array([len(y)]))[0])
+        assert len(met) >= needed
+        tight += len(met) == needed
+    assert tight > 50
