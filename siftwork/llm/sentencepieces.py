@@ -275,6 +275,9 @@ class PieceCodec:
             self.kept[segment] = entry
         return entry
 
+    def forget(self) -> None:
+        self.kept, self.older = {}, {}
+
     def _widths(self, pieces: list[str]) -> list[int]:
         """Bytes of the original under each id, where only blanks were replaced."""
         out = []
@@ -319,10 +322,13 @@ class PieceCodec:
 
 def _read(run: bytes) -> str:
     """Bytes as text; each that begins no whole character becomes U+FFFD."""
-    try:
-        return run.decode()
-    except UnicodeDecodeError as e:
-        return run[:e.start].decode() + "�" + _read(run[e.start + 1:])
+    parts = []
+    while True:
+        try:
+            return "".join([*parts, run.decode()])
+        except UnicodeDecodeError as e:
+            parts += [run[:e.start].decode(), "�"]
+            run = run[e.start + 1:]
 
 
 def _sha(text: str) -> str:
@@ -385,6 +391,9 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = False) -> D
                     ends.append(of.ends(t, widths))
             columns = [*part.columns, _lists(ids), pa.array(decoded, pa.string())] + ([_lists(ends)] if spans else [])
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *(name for name, _ in more)])
+        # The worker goes on to other stages: it keeps the codec, not what this task's texts left in it.
+        of.forget()
+        pa.default_memory_pool().release_unused()
 
     fields = T.StructType([*kept.schema.fields, *(T.StructField(name, T.StringType() if kind == "string" else
                                                                T.ArrayType(T.IntegerType())) for name, kind in more)])

@@ -107,3 +107,7 @@ def test_other_models_are_refused(tmp_path):
     assert tokenizer_file("/x/y.model") == "/x/y.model"
     with pytest.raises(FileNotFoundError):
         sentencepieces.PieceCodec(str(tmp_path / "none.model"))
+
+
+def test_stray_bytes_without_end():
+    assert sentencepieces._read(b"\xff" * 3000 + b"a\xc3") == "\ufffd" * 3000 + "a\ufffd"
