@@ -7,7 +7,8 @@ these notes to byte spans of the original.
 
 Merges never cross a boundary that no piece spans (before a run of word
 marks, and around a line break), so a text is encoded as the sequence of its
-segments, and segments repeat: each worker keeps their pieces, within bounds.
+segments, and segments repeat: each worker keeps their ids, within bounds.  What
+ids read as, and how many bytes they cover, comes from one table of all pieces.
 
 Defined results: null and the empty text have no pieces and decode to the empty
 text; rows are independent, so repeats and further columns don't matter.
@@ -19,6 +20,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,19 +37,14 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-KEPT = 150_000
+KEPT = 200_000
 #: Segments longer than this are not kept; from LONGER on, merges use a heap.
 LONG, LONGER = 64, 512
-_NONE = (float("inf"), 0)
+_NONE = float("inf")
 #: Characters of text that are encoded before their rows are passed on.
 AT_ONCE = 2 << 20
 
 
-#: Ids as text and as 32-bit numbers, what they decode to inside a text, and how
-#: many bytes of the original each covers, a byte each.
-Segment = tuple[str, bytes, str, bytes]
-
-
 class CharMap:
     """The compiled character map: a double-array trie over UTF-8 bytes, whose
     values are places in a block of NUL-ended replacements."""
@@ -98,7 +95,8 @@ class PieceCodec:
         self.types = [p.type for p in model.pieces]
         self.unk_surface = model.trainer_spec.unk_surface
         self.unk = self.types.index(UNKNOWN)
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
+        self.id_of = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
+        self.rank = {p: -model.pieces[i].score for p, i in self.id_of.items()}
         self.byte_ids = [0] * 256
         for i, p in enumerate(model.pieces):
             if p.type == BYTE:
@@ -106,13 +104,22 @@ class PieceCodec:
         self.fallback = model.trainer_spec.byte_fallback
         if any(t == USER for t in self.types):
             raise ValueError("user-defined pieces are not supported")
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.shown = [self.unk_surface if t == UNKNOWN else "" if t == CONTROL else p.replace(MARK, " ")
+                      for p, t in zip(self.pieces, self.types, strict=True)]
+        self.is_byte = np.array(self.types) == BYTE
+        self.values = np.zeros(len(self.pieces), np.uint8)
+        self.values[self.byte_ids] = np.arange(256) * self.fallback
+        # Bytes of the original under each id, where only blanks were replaced.
+        self.width = np.array([1 if t == BYTE else len(p.encode()) - 2 * p.count(MARK) * self.escape
+                               for p, t in zip(self.pieces, self.types, strict=True)], np.int32)
         inner = any(MARK in p.lstrip(MARK) for p in self.rank)
         breaks = any("\n" in p for p in self.rank)
         self.segment = re.compile("(?s).+" if inner else
                                   f"{MARK}*[^{MARK}]+|{MARK}+" if breaks else
                                   f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-        self.kept: dict[str, Segment] = {}
-        self.older: dict[str, Segment] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each byte of it (and its end) the byte
@@ -173,15 +180,15 @@ class PieceCodec:
         get = self.rank.get
         parts = list(segment)
         if len(segment) < LONGER:
-            ranks = [get(a + b, _NONE)[0] for a, b in zip(parts, parts[1:], strict=False)]
-            while ranks and (best := min(ranks)) != _NONE[0]:
+            ranks = [get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+            while ranks and (best := min(ranks)) != _NONE:
                 i = ranks.index(best)
                 parts[i] += parts.pop(i + 1)
                 del ranks[i]
                 if i:
-                    ranks[i - 1] = get(parts[i - 1] + parts[i], _NONE)[0]
+                    ranks[i - 1] = get(parts[i - 1] + parts[i], _NONE)
                 if i < len(ranks):
-                    ranks[i] = get(parts[i] + parts[i + 1], _NONE)[0]
+                    ranks[i] = get(parts[i] + parts[i + 1], _NONE)
             return parts
         after = list(range(1, len(parts))) + [-1]
         before = list(range(-1, len(parts) - 1))
@@ -190,7 +197,7 @@ class PieceCodec:
         def offer(i: int, j: int) -> None:
             r = get(parts[i] + parts[j])
             if r is not None:
-                heapq.heappush(heap, (r[0], i, j, parts[i] + parts[j]))
+                heapq.heappush(heap, (r, i, j, parts[i] + parts[j]))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -210,9 +217,9 @@ class PieceCodec:
     def ids_of(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
-            known = self.rank.get(p)
-            if known:
-                out.append(known[1])
+            known = self.id_of.get(p)
+            if known is not None:
+                out.append(known)
             elif self.fallback:
                 out.extend(self.byte_ids[b] for b in p.encode("utf-8", "replace"))
             elif not out or out[-1] != self.unk:
@@ -258,17 +265,16 @@ class PieceCodec:
             parts.append(_read(bytes(run)))
         return "".join(parts)
 
-    def _segment(self, segment: str) -> Segment:
+    def _segment(self, segment: str) -> bytes:
+        """Ids of a segment as 32-bit numbers."""
         entry = self.older.get(segment)
         if entry is None:
             pieces = self.merge(segment)
-            ids = self.ids_of(pieces)
-            if len(ids) == len(pieces):
-                shown = "".join(self.pieces[i] if self.types[i] == NORMAL else self.decode([i]) for i in ids)
-                shown = shown.replace(MARK, " ")
-            else:
-                shown = self.decode([self.byte_ids[0], *ids])[1:] if self.fallback else self.decode(ids)
-            entry = (",".join(map(str, ids)), np.array(ids, "<i4").tobytes(), shown, bytes(self._widths(pieces)))
+            try:
+                ids = [self.id_of[p] for p in pieces]
+            except KeyError:
+                ids = self.ids_of(pieces)
+            entry = array("i", ids).tobytes()
         if len(segment) <= LONG:
             if len(self.kept) >= KEPT:  # what was used lately stays one round longer
                 self.older, self.kept = self.kept, {}
@@ -278,39 +284,37 @@ class PieceCodec:
     def forget(self) -> None:
         self.kept, self.older = {}, {}
 
-    def _widths(self, pieces: list[str]) -> list[int]:
-        """Bytes of the original under each id, where only blanks were replaced."""
-        out = []
-        for p in pieces:
-            n = len(p.encode("utf-8", "replace"))
-            if p in self.rank or not self.fallback:
-                out.append(n - 2 * p.count(MARK) if self.escape else n)
-            else:
-                out += [1] * n
-        return out
-
-    def ends(self, text: str | None, widths: bytes) -> np.ndarray:
+    def ends(self, text: str | None, widths: np.ndarray) -> np.ndarray:
         """Where each piece ends in the bytes of the original text: projected by
         the widths where nothing but blanks was replaced, else by the notes that
         normalisation takes."""
         text = text or ""
-        if self.map.units or self.tidy or MARK in text or (self.escape and not self.dummy):
+        if self.map.units or self.tidy or MARK in text or not self.fallback or (self.escape and not self.dummy):
             return np.array([e for _, _, e in self.encode_spans(text)], np.int32)
-        out = np.cumsum(np.frombuffer(widths, np.uint8), dtype=np.int32)
+        out = np.cumsum(widths, dtype=np.int32)
         return out - 1 if self.dummy else out
 
-    def coded(self, text: str | None) -> tuple[str, np.ndarray, str, bytes]:
-        """The ids as text and as numbers, the text that they decode to, and
-        their widths."""
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The ids of a text."""
         get, new = self.kept.get, self._segment
-        found = [get(s) or new(s) for s in self.segment.findall(self._quick(text or ""))]
-        if not found:
-            return "", np.empty(0, np.int32), "", b""
-        names, ids, shown, widths = zip(*found, strict=True)
-        joined = "".join(shown)
-        if (self.dummy or self.tidy) and joined.startswith(" "):
-            joined = joined[1:]
-        return ",".join(names), np.frombuffer(b"".join(ids), "<i4"), joined, b"".join(widths)
+        return np.frombuffer(b"".join([get(s) or new(s) for s in self.segment.findall(self._quick(text or ""))]), np.intc)
+
+    def read(self, ids: np.ndarray) -> str:
+        """``decode`` for the ids of a text, run by run of bytes or of pieces."""
+        kinds, parts, at = self.is_byte[ids], [], self.shown.__getitem__
+        edges = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            run = ids[lo:hi]
+            parts.append(_read(self.values[run].tobytes()) if lo < hi and kinds[lo] else "".join(map(at, run.tolist())))
+        shown = "".join(parts)
+        first = (self.dummy or self.tidy) and len(ids) and not kinds[0]
+        return shown[1:] if first and shown.startswith(" ") else shown
+
+    def coded(self, text: str | None) -> tuple[str, np.ndarray, str, np.ndarray]:
+        """The ids as text and as numbers, the text that they decode to, and how
+        many bytes each covers."""
+        ids = self.numbers(text)
+        return ",".join(map(self.names.__getitem__, ids.tolist())), ids, self.read(ids), self.width[ids]
 
     def digests(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids, and SHA-256 of the ids, of the decoded text and of the
@@ -384,11 +388,10 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, spans: bool = False) -> D
         for part, texts in _in_parts(batches):
             ids, decoded, ends = [], [], []
             for t in texts:
-                _, numbers, shown, widths = of.coded(t)
-                ids.append(numbers)
-                decoded.append(shown)
+                ids.append(of.numbers(t))
+                decoded.append(of.read(ids[-1]))
                 if spans:
-                    ends.append(of.ends(t, widths))
+                    ends.append(of.ends(t, of.width[ids[-1]]))
             columns = [*part.columns, _lists(ids), pa.array(decoded, pa.string())] + ([_lists(ends)] if spans else [])
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *(name for name, _ in more)])
         # The worker goes on to other stages: it keeps the codec, not what this task's texts left in it.
