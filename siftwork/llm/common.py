@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 
@@ -35,6 +36,15 @@ def small_enough(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 
 
+def hand_back() -> None:
+    """Gives the system what this worker's allocators hold unused.  A worker stays beside the stages
+    that follow, and on a small executor their memory is what it keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others return memory by themselves
+    if trim:
+        trim(0)
+
+
 def buckets_of(df: DataFrame) -> int:
     """Groups for work that loads one group at a time: a few for each shuffle
     partition, so that a group's size follows the partition size chosen for

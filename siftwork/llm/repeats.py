@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import buckets_of, saved
+from siftwork.llm.common import buckets_of, hand_back, saved
 
 WIDTH = 100
 TRIGGER = 24
@@ -223,6 +223,7 @@ def _parsed(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            hand_back()
             texts, ids, copies = _documents(batch)
             buckets = batch.column("_bucket").to_numpy(zero_copy_only=False).astype(np.int32)
             for trigger, content, i, start, n in _stretches(texts):
@@ -242,6 +243,7 @@ def _parsed(shards: int):
 
 def _compared(table: pa.Table) -> pa.Table:
     """Phrases of one shard: repeats of whole phrases, and those left open."""
+    hand_back()
     if table.column("kind")[0].as_py() == SPANS:
         return table
     columns = _unpack(table)
@@ -268,6 +270,7 @@ def _cut(shards: int):
     """Bytes of the open phrases of a group of documents, to their shards."""
 
     def run(docs: pa.Table, left: pa.Table) -> pa.Table:
+        hand_back()
         if not left.num_rows or not docs.num_rows:
             return _pack(OPEN, np.empty(0, np.int32), {})
         columns = _unpack(left)
@@ -283,6 +286,7 @@ def _cut(shards: int):
 
 def _sorted_windows(table: pa.Table) -> pa.Table:
     """Spans of the windows that an earlier phrase with the trigger holds too."""
+    hand_back()
     phrases = _unpack(table)
     data = np.frombuffer(b"".join(phrases["bytes"]), np.uint8)
     n = phrases["n"].astype(np.int64)
@@ -350,6 +354,7 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 def _applied(characters: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        hand_back()
         texts, ids, copies = _documents(docs)
         by: dict[tuple[int, int], list[int]] = {}
         columns = _unpack(spans)
