@@ -14,9 +14,10 @@ position is the longest seen context there, and log weights add up along the wal
 The n-grams are never in one place.  Documents are grouped by a hash of their id.
 A group sends each distinct n-gram key once to the shard that owns its range of
 hashes, with its training count, and the shard answers in the same order with the
-corpus count (and its own token totals).  The group then has the part of the
-automaton that its texts walk through.  Keys travel as sorted differences, so a
-common n-gram costs a shard one row per group, and the text is shuffled once.
+corpus count (and its own token totals).  From these the group builds the part of
+the automaton that its texts walk through (``Automaton``), and walks it.  Keys
+travel as sorted differences, so a common n-gram costs a shard one row per group,
+and the text is shuffled once.
 
 Defined results: null is the empty text (only the end token); a null doc_id is
 held out or not by the empty string's checksum; repeated rows each count and keep
@@ -40,6 +41,8 @@ from siftwork.llm.common import buckets_of
 #: Added to every count at the root, and the k of the two longer contexts.
 ADDED, STRENGTH = 0.1, (500.0, 4.0)
 FOLDS = 10
+#: Tokens of a text that are walked at one go.
+PIECE = 128
 _END, _BEGIN = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _KEPT = 400_000
 _ASKED = "shard int, bucket int, packed binary"
@@ -108,24 +111,96 @@ class Walk:
         weight = np.repeat(learned, self.lengths)
         return [np.bincount(at[weight & (at >= 0)], minlength=len(k)) for k, at in zip(self.keys, self.at, strict=True)]
 
-    def scores(self, counts: list[np.ndarray], tokens: int, kinds: int,
-               strength: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, model score) of each text."""
-        root = np.log10(counts[0] + ADDED) - np.log10(tokens + ADDED * (kinds + 1))
-        base = root[self.at[0]]
-        before = np.append(self.end, self.at[0][:-1])
-        before[self.begins] = self.end  # as many texts begin as end
-        state = [counts[0][before], np.append(0, counts[1][self.at[1][:-1]])]
-        state[1][self.begins] = 0
-        log = base
-        for order, (seen, k) in enumerate(zip(state, strength, strict=True), 1):
-            index = self.at[order]
-            arc = np.where(index >= 0, counts[order][index], 0)
-            fail = np.log10(k) - np.log10(seen + k)
-            taken = np.log10(np.maximum(arc, 1) + k * 10.0 ** log) - np.log10(seen + k)
-            log = np.where(seen == 0, log, np.where(arc > 0, taken, fail + log))
-        known = (counts[0][self.at[0]] > 0).astype(np.int64)
-        return tuple(np.add.reduceat(x, self.begins) for x in (known, base, log))
+    def places(self, order: int) -> np.ndarray:
+        """A position where each n-gram of order + 1 tokens ends."""
+        place, at = np.empty(len(self.keys[order]), np.int64), self.at[order]
+        there = np.flatnonzero(at >= 0)
+        place[at[there]] = there
+        return place
+
+
+class Automaton:
+    """The states that a group's texts can reach, with their arcs.
+
+    State 0 is the root.  Then come a state for each word, one for the beginning of
+    a text and one for each pair of tokens; a context unseen in training keeps its
+    number, but no arc leads to it.  ``arcs`` holds state * words + token, sorted;
+    ``weight`` and ``to`` are an arc's log10 probability and the state after it,
+    ``fail_weight`` and ``fail_to`` those of a state's failure arc."""
+
+    def __init__(self, walk: Walk, counts: list[np.ndarray], tokens: int, kinds: int, strength: tuple[float, float]):
+        words, token, pair = len(counts[0]), walk.at[0], walk.at[1]
+        self.words, self.begin = words, 1 + words if counts[0][walk.end] else 0
+        seen = np.concatenate([[0], counts[0], counts[0][walk.end:walk.end + 1], counts[1]])  # as many begin as end
+        self.root = np.log10(counts[0] + ADDED) - np.log10(tokens + ADDED * (kinds + 1))
+
+        ends, two, three = walk.places(1), counts[1] > 0, counts[2] > 0
+        before = np.append(words, token[:-1])
+        before[walk.begins] = words
+        k = np.repeat(np.array((1.0, *strength)), [1, words + 1, len(ends)])
+        self.fail_weight = np.log10(k) - np.log10(seen + k)
+        self.fail_to = np.zeros(len(seen), np.int64)
+        self.fail_to[words + 2:] = np.where(counts[0][token[ends]] > 0, 1 + token[ends], 0)
+
+        def weights(state: np.ndarray, count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+            return np.log10(count + k[state] * 10.0 ** shorter) - np.log10(seen[state] + k[state])
+
+        # the root has an arc for every token; each longer context for those seen after it
+        of_pair = np.zeros(len(ends))
+        one, last = 1 + before[ends[two]], token[ends[two]]
+        of_pair[two] = weights(one, counts[1][two], self.root[last])
+        at = walk.places(2)[three]
+        state = words + 2 + pair[at - 1]
+        arcs = np.concatenate([np.arange(words), one * words + last, state * words + token[at]])
+        weight = np.concatenate([self.root, of_pair[two], weights(state, counts[2][three], of_pair[pair[at]])])
+        to = np.concatenate([np.where(counts[0] > 0, 1 + np.arange(words), 0), words + 2 + np.flatnonzero(two),
+                             words + 2 + pair[at]])
+        order = np.argsort(arcs)
+        self.arcs, self.weight, self.to = arcs[order], weight[order], to[order]
+
+    def traverse(self, token: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The log10 probability added at each position of texts walked from left to right.
+
+        Texts are walked side by side, long ones as pieces of ``PIECE`` tokens.  A state
+        remembers two tokens, so a piece that starts at the root two tokens early has
+        reached the state of the whole walk where its own tokens begin."""
+        pieces = -(-lengths // PIECE)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        offset = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        early = np.where(offset > 0, 2, 0)
+        size = np.minimum(PIECE, lengths[text] - offset) + early
+        start = begins[text] + offset - early
+        state = np.where(offset > 0, 0, self.begin)
+        longest = np.argsort(-size, kind="stable")
+        early, size, start, state = (x[longest] for x in (early, size, start, state))
+        out = np.empty(len(token))
+        for step in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -step))
+            at = start[:live] + step
+            want, log, left = token[at], np.zeros(live), np.arange(live)
+            while len(left):
+                here = state[left]
+                key = here * self.words + want[left]
+                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                met = self.arcs[arc] == key
+                taken, found, failed = left[met], arc[met], left[~met]
+                log[taken] += self.weight[found]
+                state[taken] = self.to[found]
+                log[failed] += self.fail_weight[here[~met]]
+                state[failed] = self.fail_to[here[~met]]
+                left = failed
+            own = early[:live] <= step
+            out[at[own]] = log[own]
+        return out
+
+
+def scores(walk: Walk, counts: list[np.ndarray], tokens: int, kinds: int,
+           strength: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, base score, model score) of each text."""
+    known = (counts[0] > 0).astype(np.int64)
+    model = Automaton(walk, counts, tokens, kinds, strength)
+    log = model.traverse(walk.at[0], walk.begins, walk.lengths)
+    return tuple(np.add.reduceat(x, walk.begins) for x in (known[walk.at[0]], model.root[walk.at[0]], log))
 
 
 def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -233,7 +308,7 @@ def _scoring(strength: tuple[float, float]):
         parts = [_unpack(packed[i]) for i in np.argsort(answers.column("shard").to_numpy())]
         tokens, kinds = sum(p[0] for p in parts), sum(p[1] for p in parts)
         counts = [np.concatenate([p[2][o] for p in parts]).astype(np.int64) for o in range(3)]
-        known, base, score = walk.scores(counts, tokens, kinds, strength)
+        known, base, score = scores(walk, counts, tokens, kinds, strength)
         n = len(ids)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()),

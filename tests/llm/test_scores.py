@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,31 @@ def test_model_equals_brute_force(docs_of, rng):
     assert language_model.lm_scores(docs_of([])).count() == 0
 
 
+def test_states_carried_over_pieces(rng, monkeypatch):
+    """A walk in pieces, the shortest ones included, is the walk from the beginning."""
+    texts = [prose(rng, n, ["red", "blue", "fish", "bird", "tree"]) for n in (0, 1, 2, 3, 5, 40, 400)]
+    walk = language_model.Walk(texts)
+    counts = walk.counts(np.arange(len(texts)) % 3 > 0)
+    model = language_model.Automaton(walk, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), (500.0, 4.0))
+    at = walk.at[0]
+    for first, n in zip(walk.begins, walk.lengths, strict=True):  # one state, one token at a time
+        state, want = model.begin, []
+        for token in at[first:first + n]:
+            log, arc = 0.0, dict(zip(model.arcs.tolist(), range(len(model.arcs)), strict=True))
+            while (found := arc.get(state * model.words + token)) is None:
+                log, state = log + model.fail_weight[state], model.fail_to[state]
+            log, state = log + model.weight[found], model.to[found]
+            want.append(log)
+        for piece in (1, 2, 7, 1000):
+            monkeypatch.setattr(language_model, "PIECE", piece)
+            got = model.traverse(at, walk.begins, walk.lengths)[first:first + n]
+            assert np.allclose(got, want, rtol=0, atol=1e-12)
+    # the weights of a state's arcs, and its failure arc times the rest, sum to one
+    vocabulary = 10.0 ** np.append(model.root, np.log10(0.1 / (counts[0].sum() + 0.1 * ((counts[0] > 0).sum() + 1))))
+    known = counts[0] > 0
+    assert abs(vocabulary[:-1][known].sum() + vocabulary[-1] - 1) < 1e-12
+
+
 def test_model_beats_its_root_and_is_normalised(docs_of, rng):
     texts = [prose(rng, 12, ["red fish", "blue bird", "old tree"]) for _ in range(200)]
     held = [r for r in language_model.lm_scores(docs_of(texts)).collect() if r.held_out]
