@@ -167,10 +167,10 @@ class Automaton:
         pieces = -(-lengths // PIECE)
         text = np.repeat(np.arange(len(lengths)), pieces)
         offset = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-        early = np.where(offset > 0, 2, 0)
+        early = np.minimum(offset, 2)
         size = np.minimum(PIECE, lengths[text] - offset) + early
         start = begins[text] + offset - early
-        state = np.where(offset > 0, 0, self.begin)
+        state = np.where(offset > 2, 0, self.begin)
         longest = np.argsort(-size, kind="stable")
         early, size, start, state = (x[longest] for x in (early, size, start, state))
         out = np.empty(len(token))
