@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,14 @@ from siftwork.functions.vector import dot, group_vector_sum, mean_pairwise_cosin
 from siftwork.operators import vector_blocks as vb
 from siftwork.operators.order_stats import interpolated_quantile
 from siftwork.operators.similarity import knn
+from siftwork.session import reliable_checkpoint
 
 # Logit scale of the zero-shot softmax, margin below which a
 # group abstains.
 SOFTMAX_SCALE = 100.0
 MIN_MARGIN = 0.10
-# Rows of a prompt bank, at most.
-MAX_PROMPTS = 10_000
+# Rows of a prompt bank that a task holds at a time.
+PROMPTS_HELD = 10_000
 
 # The prompt bank of the review facets.  Data, not code: a job
 # may pass another table of (grp, label, prompt).
@@ -66,16 +68,32 @@ def caption_consistency(captions: DataFrame, caption_vectors: DataFrame) -> Data
 def zero_shot(vectors: DataFrame, prompts: DataFrame, min_margin: float = MIN_MARGIN,
               scale: float = SOFTMAX_SCALE) -> DataFrame:
     """``id, grp, label, confidence, margin``: the winning label per facet
-    group, absent where the runner-up is too close.
+    group, absent where the runner-up is too close; of equal labels the least.
 
     ``prompts`` is ``(grp, label, embedding)``, a bank that every task holds: a
     vector meets it inside its own batch, so nothing is exchanged.  A bank past
-    ``MAX_PROMPTS`` rows is refused, as it would no longer be one."""
-    bank = prompts.select("grp", "label", "embedding").limit(MAX_PROMPTS + 1).collect()
-    if len(bank) > MAX_PROMPTS:
-        raise ValueError(f"a prompt bank holds at most {MAX_PROMPTS} rows")
+    ``PROMPTS_HELD`` rows is dealt into tiles; each passes over the vectors in
+    turn, and the tiles' maxima and softmax sums are merged by id and group."""
+    bank = prompts.select("grp", "label", "embedding")
+    tiles = -(-bank.count() // PROMPTS_HELD)
+    vectors = vectors.select("id", "embedding").where(F.col("embedding").isNotNull())
+    if tiles > 1:
+        tiles = tiles * 2  # the deal is uneven
+        dealt = reliable_checkpoint(bank.withColumn("tile", F.floor(F.rand(7) * tiles)))
+        parts = [reliable_checkpoint(_facet_maxima(vectors, dealt.where(F.col("tile") == i), scale)) for i in range(tiles)]
+        found = _merged_maxima(reduce(DataFrame.unionByName, parts))
+    else:
+        found = _facet_maxima(vectors, bank, scale)
+    margin = F.when(F.col("second").isNull(), 1.0).otherwise((1 - F.exp(F.col("second") - F.col("top"))) / F.col("mass"))
+    return found.select("id", "grp", "label", (1 / F.col("mass")).alias("confidence"), margin.alias("margin")).where(
+        F.col("margin") >= min_margin)
+
+
+def _facet_maxima(vectors: DataFrame, bank: DataFrame, scale: float) -> DataFrame:
+    """``id, grp, label, top, second, mass``: the greatest two logits of a group
+    and its softmax sum relative to the greatest."""
     groups: dict[str, list] = {}
-    for row in sorted(bank, key=lambda r: (r["grp"], r["label"])):
+    for row in sorted(bank.collect(), key=lambda r: (r["grp"], r["label"])):
         groups.setdefault(row["grp"], []).append(row)
     held = [(grp, np.array([r["label"] for r in rows], object), np.array([r["embedding"] for r in rows], float))
             for grp, rows in groups.items()]
@@ -87,19 +105,30 @@ def zero_shot(vectors: DataFrame, prompts: DataFrame, min_margin: float = MIN_MA
             ids, m = vb.longs(batch.column("id")), vb.matrix(batch.column("embedding"))
             for grp, labels, vectors_ in held:
                 logits = np.round(m @ vectors_.T, 12) * scale  # copies of a vector tie
-                weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-                mass = weights.sum(axis=1)
-                margin = np.ones(len(ids))
+                top = logits.max(axis=1)
+                second = pa.nulls(len(ids), pa.float64())
                 if len(labels) > 1:
-                    margin = (1 - np.partition(weights, -2, axis=1)[:, -2]) / mass
-                won = margin >= min_margin
+                    second = pa.array(np.partition(logits, -2, axis=1)[:, -2])
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids[won], "grp": pa.array([grp] * int(won.sum()), pa.string()),
-                    "label": pa.array(labels[logits.argmax(axis=1)[won]], pa.string()),
-                    "confidence": 1 / mass[won], "margin": margin[won]})
-
-    return vectors.select("id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(
-        run, "id long, grp string, label string, confidence double, margin double")
+                    "id": ids, "grp": pa.array([grp] * len(ids), pa.string()),
+                    "label": pa.array(labels[logits.argmax(axis=1)], pa.string()), "top": top, "second": second,
+                    "mass": np.exp(logits - top[:, None]).sum(axis=1)})
+
+    return vectors.mapInArrow(run, "id long, grp string, label string, top double, second double, mass double")
+
+
+def _merged_maxima(parts: DataFrame) -> DataFrame:
+    """The rows of several tiles as one for each id and group; a row's parts are
+    as many as the tiles."""
+    rows = parts.groupBy("id", "grp").agg(
+        F.array_sort(F.collect_list(F.struct("top", "second", "mass", "label"))).alias("p"), F.max("top").alias("top"))
+    greatest = F.sort_array(F.concat(F.transform("p", lambda x: x["top"]), F.array_compact(
+        F.transform("p", lambda x: x["second"]))), asc=False)
+    return rows.select(
+        "id", "grp", F.array_min(F.transform(F.filter("p", lambda x: x["top"] == F.col("top")),
+                                             lambda x: x["label"])).alias("label"),
+        "top", F.get(greatest, F.lit(1)).alias("second"),
+        F.aggregate("p", F.lit(0.0), lambda total, x: total + x["mass"] * F.exp(x["top"] - F.col("top"))).alias("mass"))
 
 
 def similarity_floor(vectors: DataFrame, q: float = 0.1, **options) -> DataFrame:

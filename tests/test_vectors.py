@@ -296,6 +296,20 @@ def test_margin_gate_abstains(spark):
     assert got[(2, "only")].margin == 1.0 and got[(2, "only")].confidence == pytest.approx(1.0)
 
 
+def test_a_bank_in_tiles_is_the_whole_bank(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.integers(-3, 4, (40, 3)).astype(float)  # few directions, so that labels tie
+    v = frame(spark, [(i, vec(*p)) if p.any() else (i, None) for i, p in enumerate(points)])
+    prompts = spark.createDataFrame([(g, f"{g}{k % 9}", vec(*(rng.integers(-3, 4, 3) + 0.5))) for g in "ab" for k in range(13)]
+                                    + [("only", "x", vec(1, 0, 0))], "grp string, label string, embedding array<float>")
+    rows = lambda: {(r.id, r.grp): (r.label, round(r.confidence, 9), round(r.margin, 9)) for r in signals.zero_shot(
+        v, prompts, min_margin=0.0, scale=3.0).collect()}
+    whole = rows()
+    monkeypatch.setattr(signals, "PROMPTS_HELD", 5)
+    assert whole and rows() == whole
+    assert signals.zero_shot(v, prompts.limit(0)).count() == 0
+
+
 def test_caption_agreement_skips_missing_vectors(spark):
     caps = spark.createDataFrame([(1, 10), (2, 10), (3, 20)], "id long, sample_id long")
     cv = frame(spark, [(1, vec(1, 0)), (3, vec(0, 1))])
