@@ -121,6 +121,64 @@ def test_classifier_on_held_out_rows(labelled):
     assert all(0 <= r.site_low <= 1 and 0 <= r.p_toxic <= 1 for r in rows)
 
 
+def posteriors_by_brute_force(rows, label_of):
+    """(site rate, posterior) of each (doc_id, host, path, evidence), one head."""
+    def strength(sites, prior_of):
+        n = sum(m for m, _ in sites.values())
+        chance = [(prior_of(k) * (1 - prior_of(k)), m, (bad / m - prior_of(k)) ** 2) for k, (m, bad) in sites.items()]
+        between = (sum(m * d for _, m, d in chance) - sum(c for c, _, _ in chance)) / n
+        within = sum(m * c for c, m, _ in chance) / n
+        return min(1e6, max(1.0, within / between if between > 0 else 1e6))
+
+    def odds(p):
+        p = min(1 - 1e-9, max(1e-9, p))
+        return math.log(p / (1 - p))
+
+    paths, hosts = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+    for i, host, path, e in rows:
+        bad = label_of.get(i, e)
+        for site in (paths[host, path], hosts[host]):
+            site[0] += 1
+            site[1] += bad
+    overall = min(1 - 1e-6, max(1e-6, sum(b for _, b in hosts.values()) / len(rows)))
+    k = strength(hosts, lambda _: overall)
+    prior = {h: (b + k * overall) / (n + k) for h, (n, b) in hosts.items()}
+    k = strength(paths, lambda site: prior[site[0]])
+    for _, host, path, e in rows:
+        n, bad = paths[host, path]
+        site = (bad + k * prior[host]) / (n + k)
+        yield site, 1 / (1 + math.exp(-(odds(e) + odds(site) - odds(overall))))
+
+
+def test_posteriors_equal_brute_force(labelled):
+    docs, labels = labelled
+    number = F.coalesce(F.col("doc_id"), F.lit(0))
+    docs = docs.withColumn("host", F.concat(F.lit("h"), F.when(number % 7 == 0, number % 3).otherwise(number % 5))).withColumn(
+        "path", F.when(number % 11 > 0, F.concat(F.lit("p"), number % 4)))
+    some = labels.where("doc_id % 3 = 0 or doc_id is null")
+    got = quality.classify(docs, some, "host", "path").collect()
+    assert len(got) == docs.count() and {r.host for r in got} == {f"h{i}" for i in range(5)} and "" in {r.path for r in got}
+    given = collections.defaultdict(lambda: [0.0, 0.0])
+    for r in some.where("doc_id is not null").collect():
+        old = given[r.doc_id]
+        given[r.doc_id] = [max(old[0], float(r.quality == 0)), max(old[1], float(r.toxic == 1))]
+    for head, i in (("low", 0), ("toxic", 1)):
+        want = posteriors_by_brute_force([(r.doc_id, r.host, r.path, r["evidence_" + head]) for r in got],
+                                         {d: v[i] for d, v in given.items()})
+        for r, (site, p) in zip(got, want, strict=True):
+            assert abs(r["site_" + head] - site) < 1e-9 and abs(r["p_" + head] - p) < 1e-9
+    assert all(r.keep == (r.p_low < 0.5 and r.p_toxic < 0.5) for r in got)
+
+
+def test_head_is_at_its_optimum(rng):
+    x = np.array([[rng.gauss(0, 1) for _ in range(4)] for _ in range(400)])
+    y = np.array([float(rng.random() < 1 / (1 + math.exp(-(r[0] - 2 * r[1] + 0.5)))) for r in x])
+    head = quality.Head(x, y)
+    z = head._scaled(x)
+    slope = z.T @ (y - head(x)) - np.array([1.0] * 4 + [1e-3]) * head.weights
+    assert np.abs(slope).max() < 1e-4 and quality.Head(x, y * 0)(x).max() == 0
+
+
 def test_sparse_sites_shrink_to_the_prior(spark):
     rows = [("big", "p", 0.9, None)] * 400 + [("other", "p", 0.1, None)] * 400 + [("tiny", "p", 1.0, None)]
     scored = spark.createDataFrame(rows, "host string, path string, low double, label_low double")
