@@ -6,13 +6,16 @@ import math
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwork.llm import language_model, licenses, minhash, quality, url_filters
 from siftwork.llm.queries import LISTED_HOSTS, ORACLES, QUERIES, RULES
 from .conftest import ODD, prose
+from .test_pairs import contamination_by_brute_force, near_copies_by_brute_force, removed_by_brute_force
 
 
 def model_by_brute_force(rows):
@@ -294,20 +297,64 @@ def test_estimator_is_unbiased(docs_of, rng):
     assert near[0] == 1.0
 
 
+def without_covered(text, cover):
+    """The characters that are not wholly covered."""
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        if not all(cover[at:at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
+def accepted_by_brute_force(spark, sf, docs):
+    """Rows whose posteriors, in plain Python over the document models' evidence, stay below one half."""
+    labels = corpus_pipeline.table(spark, sf, "labels")
+    given = {r.doc_id: (float(r.quality == 0), float(r.toxic == 1)) for r in labels.collect()}
+    rows = quality.classify(docs, labels).collect()
+    p = [[x for _, x in posteriors_by_brute_force([(r.doc_id, r.host, r.path, r["evidence_" + head]) for r in rows],
+                                                  {d: v[i] for d, v in given.items()})]
+         for i, head in enumerate(("low", "toxic"))]
+    return {r.doc_id for r, *both in zip(rows, *p, strict=True) if max(both) < 0.5}
+
+
 def test_pipeline_stages(spark, sf):
+    """Each stage against a plain version of it, on the rows that its predecessor really kept."""
     before = corpus_pipeline.table(spark, sf, "documents")
     docs = before
-    counts = []
+    counts, kept = [], [{r.doc_id: r for r in before.collect()}]
     for _, stage in corpus_pipeline.STAGES:
         after = corpus_pipeline.saved(stage(spark, docs, sf))
         assert after.columns[:5] == before.columns
         counts.append((docs.count(), after.count()))
         docs = after
+        kept.append({r.doc_id: r for r in docs.collect()})
+        assert len(kept[-1]) == counts[-1][1]
     (a, b), (_, c), (d, e), (_, f), (g, h) = counts
     assert a > b > c and d == e and e >= f and g == h
     texts = [r.text for r in docs.select("text").collect() if len(r.text) >= 100]
     assert len(texts) == len(set(texts))
 
+    raw, good, single, cut, clean, coded = kept
+    assert set(good) == accepted_by_brute_force(spark, sf, before)
+    assert all(good[i] == raw[i] for i in good) and all(single[i] == good[i] for i in single)
+    assert sorted(single) == near_copies_by_brute_force([(i, r.text) for i, r in sorted(good.items())])
+    rows = sorted((i, r.text) for i, r in single.items())
+    for (i, text), cover in zip(rows, removed_by_brute_force(rows), strict=True):
+        want = without_covered(text, cover)
+        assert (cut[i].text, cut[i].n_chars, cut[i].lang, cut[i].source) == (want, len(want), single[i].lang, single[i].source)
+    items = [(r.item_id, r.text) for r in corpus_pipeline.table(spark, sf, "benchmark").collect()]
+    ids = sorted(cut)
+    found = contamination_by_brute_force([cut[i].text for i in ids], items)
+    assert set(clean) == {i for i, (*_, bad) in zip(ids, found, strict=True) if not bad}
+    assert all(clean[i] == cut[i] for i in clean)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for i, r in coded.items():
+        want = lib.encode(r.text)
+        assert (r.text, r.ids, r.n_tokens) == (clean[i].text, want, len(want))
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(want).encode()).hexdigest()
+
 
 def test_queries_are_registered():
     assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{n}" for n in range(1, 11))
