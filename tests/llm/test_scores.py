@@ -357,7 +357,7 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_queries_are_registered():
-    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(q.split("_")[0] for q in QUERIES if q != "pipeline") == sorted(f"op{n}" for n in range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and LISTED_HOSTS
 
 
@@ -365,7 +365,7 @@ def test_queries_are_registered():
 def test_query_equals_its_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
