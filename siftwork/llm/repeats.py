@@ -1,4 +1,4 @@
-"""Removal of long repeats by prefix-free parsing of the corpus.
+"""Removal of long repeats by a content-chosen parse of the corpus; no suffix array is built.
 
 Every byte is removed that lies in a string of ``WIDTH`` bytes which also starts
 earlier: in a document before, or further left in the same one.
@@ -14,9 +14,9 @@ first in corpus order can hold anything new; the others are repeats as a whole.
 Copies inside one task are settled there, so a phrase travels once per task.
 
 *Dictionary order.*  Only distinct phrases that share their trigger with a
-different one are left; their windows (the dictionary's suffixes, as far as they
-matter here) are sorted by content with the corpus order of their phrases, and
-all but the first of equal ones are repeats.  Equality is verified byte by byte.
+different one are left; their windows are sorted by content with the corpus order of their phrases, and
+all but the first of equal ones are repeats.  Windows are verified byte by byte;
+whole phrases are equal if the hashes of trigger and content are.
 
 Everything else, which is most of a corpus with few repeats, never leaves the
 first sort.  Groups of documents go through the last steps by a hash of doc_id.
