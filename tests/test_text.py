@@ -138,3 +138,33 @@ def test_release_empties_the_shared_folder(spark, tmp_path):
     session._written[spark.sparkContext.applicationId] = kept[spark.sparkContext.applicationId][-1:]
     session.release(spark)
     assert kept[spark.sparkContext.applicationId][-1] not in os.listdir(folder)
+
+
+def test_matching_moves_no_postings_and_cuts_keep_the_best(spark, monkeypatch):
+    """Captions stream past the queries: what a task hands on is matches, and, to a depth, few of them."""
+    from siftwork.operators import phrase_index as px
+
+    texts = ["red dog", "dog red red", "dog", "red-dog dog", "a cat", None, "", "dog red dog red"]
+    caps = spark.createDataFrame([(i, i // 3, texts[i * 7 % len(texts)]) for i in range(240)],
+                                 "id long, sample_id long, text string").repartition(6)
+    asked = ask(spark, "dog red", "red the dog", "dog", "red-dog", "Dog dog", "zebra dog", "dog")
+    plain = lexical._bm25_by_hits(caps, asked, lexical.query_phrases(asked), False, None, None)
+    got = lexical.bm25_captions(caps, asked)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() > 300
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = lexical.keyword_ranking(caps, asked, 5, scored=plain)
+    monkeypatch.setattr(px, "STEP", 16)
+    monkeypatch.setattr(lexical, "HELD_BYTES", 400)  # several passes
+    monkeypatch.setattr(px.Best.__init__, "__defaults__", (32,))
+    cut = lexical.keyword_ranking(caps, asked, 5)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, want.collect()))
+    stems = lexical.bm25_captions(caps, asked, stem=True)
+    assert sorted(map(tuple, stems.collect())) == sorted(map(tuple, lexical._bm25_by_hits(
+        caps, asked, lexical.query_phrases(asked, True), True, None, None).collect()))
+
+
+def test_only_the_first_samples_of_a_tag_are_listed(spark, captions):
+    tags = spark.createDataFrame([(i, "dog") for i in range(100)] + [(5, "dog")], "sample_id long, tag string")
+    got = lexical.keyword_ranking(captions, ask(spark, "Dog", "zebra dog"), 4, vlm_tags=tags)
+    assert [(r.query_id, r.id, r.source) for r in got.orderBy("query_id", "rank").collect()] == [
+        (1, 10, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1)]
