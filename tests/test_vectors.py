@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,31 @@ def test_coherence_at_full_width(spark):
         own = x[album::2]
         pairs = (own @ own.T)[np.triu_indices(len(own), 1)]
         assert got[album] == pytest.approx(pairs.mean())
+
+
+def test_visitors_come_once_to_a_tile_of_many_leaves(spark, monkeypatch):
+    """Vectors that fill the space name all leaves; copies of visitors follow tiles, and hits that cannot
+    rank stay in their task."""
+    m = np.random.default_rng(8).normal(size=(400, 8))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(m)])
+    homes, tree = ball_tree.build(df, 8)
+    routed = ball_tree.routes(tree, df, lambda batch, least, most, angles, t: (np.ones(most.shape, bool), {})).cache()
+    copies = []
+    streamed = ball_tree._streamed
+    monkeypatch.setattr(ball_tree, "_streamed", lambda *a: copies.append(1) or (lambda batches: (
+        pa.record_batch({"n": [sum(int(s) for s in b["_side"].to_pylist())]}) for b in batches)))
+    sent = ball_tree.visit(tree, homes, routed, None, "n long", 1000).agg(F.sum("n")).first()[0]
+    assert copies and len(tree.leaves) > 20 and sent == 400
+    monkeypatch.setattr(ball_tree, "_streamed", streamed)
+    got = similarity.knn(df, df.withColumnRenamed("id", "query_id"), 3, max_bytes=8, block_rows=8)
+    want = np.argsort(-(m.astype(np.float32).astype(float) @ m.astype(np.float32).astype(float).T), axis=1)[:, :3]
+    assert {(r.query_id, r["rank"]): r.id for r in got.collect()} == {
+        (i, j + 1): want[i, j] for i in range(400) for j in range(3)}
+    hits = spark.createDataFrame([(q, i, float(i)) for q in range(3) for i in range(50)],
+                                 "query_id long, id long, score double").coalesce(1)
+    assert similarity.best_in_tasks(hits, 2, most=20).count() == 6
+
+
+def test_scores_held_at_once_do_not_grow_with_the_other_side():
+    assert all(similarity.chunk(n) * n <= max(n, ball_tree.SCORES) for n in (1, 8192, 131072, 10**7))
+    assert similarity.chunk(0) == 512
