@@ -394,3 +394,17 @@ def test_visitors_come_once_to_a_tile_of_many_leaves(spark, monkeypatch):
 def test_scores_held_at_once_do_not_grow_with_the_other_side():
     assert all(similarity.chunk(n) * n <= max(n, ball_tree.SCORES) for n in (1, 8192, 131072, 10**7))
     assert similarity.chunk(0) == 512
+
+
+def test_composed_queries_hand_on_their_depth_only(planted, monkeypatch):
+    """Evidence that cannot be held: rows leave a task by query, block and depth, not by pair."""
+    df, m = planted
+    asked = df.select((F.col("id") + 1).alias("query_id"), F.lit(None).cast("array<float>").alias("text_vec"),
+                      F.array(F.col("id")).alias("positive_ids"), F.array((F.col("id") + 70) % 2400).alias("negative_ids"))
+    sent, past = [], composed._past_blocks
+    monkeypatch.setattr(composed, "_past_blocks", lambda *a: sent.append(past(*a)) or sent[0])
+    got = composed.composed_ranking(asked, df, depth=4, max_bytes=64, block_rows=100).collect()
+    assert sent[0].count() <= 240 * 3 * 4
+    want = composed.composed_ranking(asked, df, depth=4).collect()
+    assert sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in got) == sorted(
+        (r.query_id, r["rank"], r.id, round(r.score, 9)) for r in want) and len(got) == 960
