@@ -44,14 +44,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    total = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), "<u8", total)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), "<u8", max(1, len(words) - size + 1)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, total, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         part = hashes[at:at + _CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -107,6 +110,21 @@ def close_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def star_candidates(prints: DataFrame, blocks: int = 6, most: int = 12) -> DataFrame:
+    """Pairs (a, b) of distinct values of ``print`` that agree on two of the blocks and differ in at most ``most``
+    bits: of the prints that share a key, each meets the least and the greatest, so pairs grow with prints and
+    not with the square of a group.  Candidates for a check of the texts, for prints far apart not all there are."""
+    keyed = prints.select("print").distinct().select("print", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("m"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("key"))
+        for i, m in enumerate(_block_masks(blocks - 2))])).alias("k")).select("print", "k.m", "k.key")
+    ends = keyed.groupBy("m", "key").agg(F.min("print").alias("least"), F.max("print").alias("greatest")).where(
+        "least < greatest")
+    met = keyed.join(ends, ["m", "key"]).select("print", F.explode(F.array("least", "greatest")).alias("end"))
+    near = F.bit_count(F.col("print").bitwiseXOR(F.col("end"))) <= most
+    return met.where((F.col("print") != F.col("end")) & near).select(
+        F.greatest("print", "end").alias("a"), F.least("print", "end").alias("b")).distinct()
+
+
 def _grouped(docs: DataFrame, size: int, max_bits: int) -> DataFrame:
     """(doc_id, copy, print, root): root names the group of linked fingerprints."""
     prints = saved(fingerprints(docs, size))

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import pytest
+
 import corpus_pipeline
 from siftwork.llm import components, decontamination, near_copies, repeats, simhash
 from .conftest import ODD, prose
@@ -146,6 +148,40 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark, docs_of, rng):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_simhash_finds_most_near_copies(spark, docs_of, rng):
+    """One word of 220 differs (about four bits; the exact step finds what is missed); a crowd meets its ends only."""
+    many = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(60):
+        words = prose(rng, 220, many).split()
+        texts += [" ".join(words), " ".join([*words[:110], "other", *words[111:]])]
+    prints = near_copies._prints(docs_of(texts, ids=list(range(120)))).select("doc_id", "node", "print").cache()
+    node = {r.doc_id: r.node for r in prints.collect()}
+    found = {(r.a, r.b) for r in near_copies._by_simhash(prints).collect()}
+    pairs = [(max(node[i], node[i + 1]), min(node[i], node[i + 1])) for i in range(0, 120, 2)]
+    assert sum(p in found for p in pairs) >= 0.75 * len(pairs)
+    crowd = spark.createDataFrame([((1 << i) | (1 << j),) for i in range(60) for j in range(i)], "print long")
+    assert 0 < simhash.star_candidates(crowd).count() <= 30 * crowd.count()
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_a_crowd_below_the_threshold_makes_few_candidates(spark, docs_of, rng, monkeypatch, tile):
+    """Copies of one text, each with words of its own: all share shingles, hardly any two are alike."""
+    many = [f"w{i}" for i in range(900)]
+    base, texts = prose(rng, 150, many), []
+    for k in range(150):
+        words = base.split()
+        for at in rng.sample(range(150), 3 if k % 3 else 1):
+            words[at] = f"x{k}"
+        texts.append(" ".join(words))
+    seen, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "_verified", lambda d, p, pairs: seen.append(pairs.count()) or verified(d, p, pairs))
+    kept = near_copies.keep_one(docs_of(texts, ids=list(range(150))))
+    assert sorted(r.doc_id for r in kept.collect()) == near_copies_by_brute_force(list(enumerate(texts)))
+    assert seen[-1] < 150 * 149 / 20
+
+
 def test_near_copies_without_rows_and_ids(docs_of):
     docs = docs_of(["a b c d", "A b c D", None, "", "other words here now"], ids=[4, 2, 9, 9, None])
     kept = near_copies.keep_one(docs.unionByName(docs))
