@@ -42,10 +42,10 @@ from siftwork.llm.common import buckets_of, hand_back, saved
 
 WIDTH = 100
 TRIGGER = 24
-#: Bytes parsed at once; a longer text is parsed in stretches.
-STRETCH = 1 << 20
-#: Bytes of text whose phrases a task holds before it passes them on.
-HELD = 64 << 20
+#: Bytes parsed at once; a longer text is parsed in stretches.  The parse holds some hundred bytes for each.
+STRETCH = 1 << 18
+#: Rows read at once, and bytes of text whose phrases a task holds before it passes them on.
+SLICE, HELD = 256, 16 << 20
 PHRASES, SPANS, OPEN = 0, 1, 2
 PACKED = "kind int, key int, rows long, packed binary"
 _FIRST = -(1 << 63)
@@ -182,7 +182,7 @@ def _unpack(table: pa.Table) -> dict[str, np.ndarray]:
 
 def _documents(table: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts as bytes, doc_id and text hash as integers."""
-    texts = [t.encode("utf-8", "replace") if t else b"" for t in table.column("text").to_pylist()]
+    texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     ids = np.array([_FIRST if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
     return texts, ids, table.column("_copy").to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -206,24 +206,34 @@ def _spans(columns: dict[str, np.ndarray], rows: np.ndarray) -> pa.Table:
     return _pack(SPANS, columns["bucket"][rows], kept)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of texts does not follow the batch size."""
+    for batch in batches:
+        for lo in range(0, len(batch), SLICE):
+            yield batch.slice(lo, SLICE)
+        hand_back()
+
+
 def _parsed(shards: int):
     """Task side of the parse: phrases to their trigger's shard, and the spans
     of phrases that this task has seen before."""
 
     def settle(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        # Each column takes the place of its parts.
+        columns = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
         order = _before(columns, "trigger", "content")
         again = _later(columns, order, "trigger", "content")
         yield from _spans(columns, np.sort(_other_places(columns, order, again))).to_batches()
         first = np.sort(order[~again])
-        columns = {k: v[first] for k, v in columns.items()}
+        del order, again
+        columns = {k: columns.pop(k)[first] for k in list(columns)}
         shard = (columns["trigger"] % np.uint64(shards)).astype(np.int32)
         yield from _pack(PHRASES, shard, columns).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            hand_back()
+        hand_back()  # what the stage before left, ere the first batch comes
+        for batch in _slices(batches):
             texts, ids, copies = _documents(batch)
             buckets = batch.column("_bucket").to_numpy(zero_copy_only=False).astype(np.int32)
             for trigger, content, i, start, n in _stretches(texts):
@@ -237,6 +247,8 @@ def _parsed(shards: int):
                     held, size = [], 0
         if held:
             yield from settle(held)
+            held = []
+        hand_back()
 
     return run
 

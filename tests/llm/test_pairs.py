@@ -245,6 +245,24 @@ def test_characters_stay_whole(docs_of):
     assert out[1].rest is None and out[1].copy == "x"
 
 
+def test_parse_holds_little_beside_its_texts(rng):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(4000)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(n), "_copy": np.arange(n), "text": texts,
+                                        "_bucket": np.arange(n, dtype=np.int32) % 8})
+    tracemalloc.start()
+    try:
+        rows = sum(len(out) for out in repeats._parsed(8)(iter([batch])))
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert rows == 8 and peak < 60 << 20  # 8 MB of texts
+
+
 TR = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
