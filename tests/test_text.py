@@ -95,6 +95,15 @@ def test_term_stats(spark, captions):
     assert got == {"dog": (1, False), "zebra": (0, False)}
 
 
+def test_term_stats_move_no_postings(spark, captions, monkeypatch):
+    def moved(*_):
+        raise AssertionError("postings of all captions")
+    monkeypatch.setattr(lexical, "phrase_hits", moved)
+    n = spark.createDataFrame([(6,)], "n long")
+    got = {r.term: r.samples for r in lexical.term_stats(captions, ask(spark, "The dog zebra dog"), n).collect()}
+    assert got == {"dog": 1, "zebra": 0}
+
+
 def test_rrf_ties_follow_semantic_then_keyword(spark):
     rank = "query_id long, id long, rank int"
     sem = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], rank)
