@@ -132,9 +132,10 @@ def _merged_maxima(parts: DataFrame) -> DataFrame:
 
 
 def similarity_floor(vectors: DataFrame, q: float = 0.1, **options) -> DataFrame:
-    """The 10th percentile of each vector's nearest-neighbour cosine."""
+    """The 10th percentile of each vector's nearest-neighbour cosine.  The fit reads
+    the cosines several times, so they are written once."""
     nearest = knn(vectors, vectors.withColumnRenamed("id", "query_id"), 1,
                   exclude_self=True, **options)
-    values = nearest.select(F.lit("nn").alias("metric"), F.col("score").alias("value"))
+    values = reliable_checkpoint(nearest.select(F.lit("nn").alias("metric"), F.col("score").alias("value")))
     return interpolated_quantile(values, q).select(
         F.col("q_value").alias("floor"))

@@ -408,3 +408,54 @@ def test_composed_queries_hand_on_their_depth_only(planted, monkeypatch):
     want = composed.composed_ranking(asked, df, depth=4).collect()
     assert sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in got) == sorted(
         (r.query_id, r["rank"], r.id, round(r.score, 9)) for r in want) and len(got) == 960
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_items_without_a_finite_penalty_take_no_place(planted, way):
+    df, m = planted
+    off = np.where(np.arange(len(m)) % 5 == 0, np.nan, np.arange(len(m)) % 3 / 10)
+    pen = df.withColumn("penalty", F.when(F.col("id") % 50 == 0, float("nan")).otherwise(F.col("id") / 10 % 3 / 10))
+    got = similarity.knn(pen, df.withColumnRenamed("id", "query_id"), 5, penalty="penalty", **way).toPandas()
+    s = np.round(m @ m.T, 12) - off[None, :]
+    want = -np.sort(-s[:, np.isfinite(off)], axis=1)[:, :5]
+    assert np.abs(got.sort_values(["query_id", "rank"]).score.to_numpy().reshape(-1, 5) - want).max() < 1e-9
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_best_scores_few_pairs_in_double_precision(monkeypatch, copies):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(3000, 32))
+    if copies:
+        m = m[rng.integers(0, 40, len(m))]  # more ties than a row has room for
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    ids, off, scored = rng.permutation(len(m)), rng.integers(0, 3, len(m)) / 8, []
+    dots = similarity.pair_dots
+    monkeypatch.setattr(similarity, "pair_dots", lambda q, c, r, at: scored.append(len(r)) or dots(q, c, r, at))
+    monkeypatch.setattr(similarity, "_PIECE", 500)
+    best = similarity.Best(ids[:200], m[:200], 6, True)
+    for lo in (0, 1700):
+        best.meet(ids[lo:lo + 1700], m[lo:lo + 1700], off[lo:lo + 1700])
+    s = np.round(m[:200] @ m.T, 12) - off[None, :]
+    s[np.arange(200), np.arange(200)] = -np.inf
+    for i in range(200):
+        order = np.lexsort((ids, -s[i]))[:6]
+        assert best.ids[i].tolist() == ids[order].tolist()
+        assert np.abs(best.scores[i] - s[i][order]).max() < 1e-9
+    assert copies or sum(scored) < s.size / 50
+
+
+def test_floor_asks_for_neighbours_once(planted, monkeypatch):
+    df, _ = planted
+    passed = df.sparkSession.sparkContext.accumulator(0)
+
+    def counted(*args, **options):
+        near = similarity.knn(*args, **options)
+
+        def run(batches):
+            for batch in batches:
+                passed.add(len(batch))
+                yield batch
+        return near.mapInArrow(run, near.schema)
+    monkeypatch.setattr(signals, "knn", counted)
+    signals.similarity_floor(df).collect()
+    assert passed.value == 240
