@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +181,26 @@ def test_only_the_first_samples_of_a_tag_are_listed(spark, captions):
     got = lexical.keyword_ranking(captions, ask(spark, "Dog", "zebra dog"), 4, vlm_tags=tags)
     assert [(r.query_id, r.id, r.source) for r in got.orderBy("query_id", "rank").collect()] == [
         (1, 10, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1)]
+
+
+@pytest.mark.parametrize("common", [1, 4, 100])
+def test_vocabulary_signals_of_common_and_rare_words(spark, monkeypatch, common):
+    monkeypatch.setattr(lexical, "COMMON_WORDS", common)
+    texts = [(1, "The red fox, the red hen"), (1, "a fox's den"), (2, "red red red"), (2, "hen of it"), (3, "Of an a"),
+             (4, "under blue fox hen red"), (5, None)]
+    df = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(texts)], "id long, sample_id long, text string")
+    got = {r.sample_id: r for r in lexical.vocabulary_signals(df).collect()}
+    words = [[w for w in re.findall("[a-z']+", (t or "").lower()) if len(w) > 2 and w not in tx.STOPWORDS] for _, t in texts]
+    held = Counter(w for ws in words for w in set(ws))
+    for sample in (1, 2, 3, 4):
+        mine = {w for (s, _), ws in zip(texts, words, strict=True) if s == sample for w in ws}
+        top = sorted((math.log(5 / (1 + held[w])) for w in mine), reverse=True)[:3]
+        assert got[sample].vocab == len(mine)
+        assert got[sample].word_rarity == (pytest.approx(sum(top) / len(top)) if top else None)
+    assert set(got) == {1, 2, 3, 4, 5} and got[5].vocab == 0
+
+
+def test_distinct_vocabulary_is_the_vocabulary_once(spark):
+    df = spark.createDataFrame([("It's the 'red' Fox_fox, foxes don't; an ox",), ("",), (None,), ("x''y ''' of OFF",)], "t string")
+    rows = df.select(tx.distinct_vocabulary(F.col("t")).alias("d"), F.array_distinct(tx.vocabulary(F.col("t"))).alias("v"))
+    assert all(r.d == r.v for r in rows.collect())
