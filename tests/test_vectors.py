@@ -459,3 +459,14 @@ def test_floor_asks_for_neighbours_once(planted, monkeypatch):
     monkeypatch.setattr(signals, "knn", counted)
     signals.similarity_floor(df).collect()
     assert passed.value == 240
+
+
+def test_long_lists_of_many_queries_hold_the_corpus(planted, monkeypatch):
+    df, _ = planted
+    asked = df.withColumnRenamed("id", "query_id")
+    sent = similarity._knn_held_queries
+    monkeypatch.setattr(similarity, "_knn_held_queries", None)
+    got = similarity.knn(df, asked, 60, max_bytes=1 << 17)  # lists of 230 kB
+    monkeypatch.setattr(similarity, "_knn_held_queries", sent)
+    want = similarity.knn(df, asked, 60)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 240 * 60
