@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwork.llm import components, decontamination, near_copies, repeats, simhash
@@ -182,6 +183,23 @@ def test_a_crowd_below_the_threshold_makes_few_candidates(spark, docs_of, rng, m
     assert seen[-1] < 150 * 149 / 20
 
 
+def test_a_pair_that_shares_rare_and_crowded_shingles_is_kept(docs_of, rng, monkeypatch):
+    """Its rare shingles are too few to name it, and the crowd's stand behind them."""
+    monkeypatch.setattr(near_copies, "SAMPLED", 1)
+    monkeypatch.setattr(near_copies, "_by_simhash", lambda prints: prints.select(
+        F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+
+    def words(n):
+        return [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    passage, shared = words(158), words(8)
+    texts = [" ".join(passage + words(26)) for _ in range(40)]
+    texts += [" ".join(passage + shared + words(18)) for _ in range(2)]
+    want = near_copies_by_brute_force(list(enumerate(texts)))
+    assert want == list(range(41))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs_of(texts)).collect()) == want
+
+
 def test_near_copies_without_rows_and_ids(docs_of):
     docs = docs_of(["a b c d", "A b c D", None, "", "other words here now"], ids=[4, 2, 9, 9, None])
     kept = near_copies.keep_one(docs.unionByName(docs))
