@@ -3,11 +3,12 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwork.llm import components, decontamination, near_copies, repeats, simhash
+from siftwork.llm import common, components, decontamination, near_copies, repeats, simhash
 from .conftest import ODD, prose
 
 
@@ -200,6 +201,29 @@ def test_a_pair_that_shares_rare_and_crowded_shingles_is_kept(docs_of, rng, monk
     assert sorted(r.doc_id for r in near_copies.keep_one(docs_of(texts)).collect()) == want
 
 
+def test_long_marks_rule_out_long_texts_below_the_threshold():
+    """Without reading sets; they never differ in more bits than the sets in shingles."""
+    draw = np.random.default_rng(3)
+    for n, m in ((600, 600), (3000, 2600), (4000, 5000), (300, 5000)):
+        for both in (0, min(n, m) // 2, min(n, m) * 8 // 10, min(n, m)):
+            every = draw.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+            x, y = np.unique(every[:n]), np.unique(every[n - both:])
+            apart = near_copies._apart(near_copies._long_marks(x), near_copies._long_marks(y))
+            assert apart <= n + m - 2 * both
+            if n > 512 and 0.6 * (n + m - both) > both:
+                assert 9 * apart > n + m
+
+
+def test_rows_are_named_in_parts(docs_of, rng, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 128)
+    base = [prose(rng, 60) for _ in range(12)]
+    texts = [*base, *(t + " more" for t in base), *base[:3]]
+    docs = docs_of(texts)
+    want = near_copies_by_brute_force(list(enumerate(texts)))
+    kept = near_copies.keep_one(docs.unionByName(docs.where("doc_id = 5")))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_near_copies_without_rows_and_ids(docs_of):
     docs = docs_of(["a b c d", "A b c D", None, "", "other words here now"], ids=[4, 2, 9, 9, None])
     kept = near_copies.keep_one(docs.unionByName(docs))
