@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from siftwork.functions.vector import unit
@@ -470,3 +471,47 @@ def test_long_lists_of_many_queries_hold_the_corpus(planted, monkeypatch):
     monkeypatch.setattr(similarity, "_knn_held_queries", sent)
     want = similarity.knn(df, asked, 60)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 240 * 60
+
+
+@pytest.mark.parametrize("dense", [1 << 30, 0])
+def test_whole_tiles_and_single_leaves_give_the_same(spark, monkeypatch, dense):
+    """Visitors that meet a tile at once see only the leaves they name, whatever the penalty."""
+    draw = np.random.default_rng(11)
+    m = draw.normal(size=(240, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[40:60] = m[40]
+    penalty = draw.uniform(0, 0.5, 240)
+    df = spark.createDataFrame([(i, v.tolist(), float(p)) for i, (v, p) in enumerate(zip(m, penalty, strict=True))],
+                               "id long, embedding array<double>, penalty double")
+    monkeypatch.setattr(ball_tree, "DENSE", dense)
+    large = {"max_bytes": 64, "block_rows": 8}
+    s = np.round(m @ m.T, 12)
+    got = {(r.a_id, r.b_id) for r in similarity.pairs_above(df, 0.8, **large).collect()}
+    assert got == {(i, j) for i in range(240) for j in range(i + 1, 240) if s[i, j] > 0.8}
+    asked = df.select(F.col("id").alias("query_id"), "embedding")
+    a = s - penalty[None, :]
+    rows = similarity.knn(df, asked, 3, exclude_self=True, penalty="penalty", **large).collect()
+    want = {(i, rank + 1): j for i in range(240) for rank, j in enumerate(
+        sorted((j for j in range(240) if j != i), key=lambda j: (-a[i, j], j))[:3])}
+    assert {(r.query_id, r.rank): r.id for r in rows} == want
+    own = asked.withColumn("own", F.lit(0.1))
+    above = {r.query_id: r.rank0 for r in similarity.exact_ranks(df, own, "penalty", **large).collect()}
+    assert above == {i: int((np.round(a[i], 12) > 0.1).sum()) for i in range(240)}
+
+
+def test_a_tree_takes_few_levels_and_its_tiles_many_tasks(spark, monkeypatch):
+    """Rows ever closer together split off a few at a time; one tile is dealt to all cores."""
+    steps = np.repeat(np.arange(600), 1) * 1e-3
+    m = np.stack([np.cos(np.exp(-steps * 12)), np.sin(np.exp(-steps * 12))], axis=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    levels, measure = [], ball_tree._measure
+    monkeypatch.setattr(ball_tree, "_measure", lambda *a: levels.append(1) or measure(*a))
+    homes, tree = ball_tree.build(df, 2)
+    assert len(levels) <= 20
+    monkeypatch.setattr(ball_tree, "LEAST_CROWD", 10)
+    routed = ball_tree.routes(tree, df, lambda batch, least, most, angles, t: (np.ones(most.shape, bool), {})).cache()
+
+    def kernel(visitors, table, hm):
+        yield pa.record_batch({"task": np.full(1, TaskContext.get().partitionId())})
+
+    assert ball_tree.visit(tree, homes, routed, kernel, "task long", 1000).distinct().count() > 1
