@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 from siftwork.functions.porter import stem
+from siftwork.session import spread
 from siftwork.operators import fusion, lexical
 
 
@@ -204,3 +205,16 @@ def test_distinct_vocabulary_is_the_vocabulary_once(spark):
     df = spark.createDataFrame([("It's the 'red' Fox_fox, foxes don't; an ox",), ("",), (None,), ("x''y ''' of OFF",)], "t string")
     rows = df.select(tx.distinct_vocabulary(F.col("t")).alias("d"), F.array_distinct(tx.vocabulary(F.col("t"))).alias("v"))
     assert all(r.d == r.v for r in rows.collect())
+
+
+def test_pools_are_counted_once_for_equal_queries(spark):
+    """Members are joined to a count, never to matches; a text that is spread already is not moved again."""
+    caps = spark.createDataFrame([(i, i // 3, ["red dog", "dog dog", "a red-dog", "cat"][i % 4]) for i in range(60)],
+                                 "id long, sample_id long, text string")
+    asked = ask(spark, "dog", "Dog", "red dog", "dog dog", "zebra", "the dog")
+    want = {r.query_id: r.pool for r in lexical.pool_sizes(lexical.bm25_captions(caps, asked), asked).collect()}
+    got = lexical.caption_pools(caps, asked)
+    assert {r.query_id: r.pool for r in got.collect()} == want and max(want.values()) > 10
+    small = spark.range(60).select(F.concat(F.lit("red dog "), "id").alias("text"))
+    lines = spread(small).select(F.explode(F.split("text", " ")).alias("text")).where("text <> ''")
+    assert spread(lines.select("text"))._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
